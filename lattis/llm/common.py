@@ -98,3 +98,41 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def rewrite_rows(
+    df: DataFrame,
+    text: str,
+    make: Callable[[], Callable[[list[bytes | None]], tuple[list | None, list | None]]],
+    length: str = "n_chars",
+) -> DataFrame:
+    """The rows of ``df`` with new texts, or without those that the function rejects.
+
+    The function takes a batch of texts and returns (new texts or None, flags of the rows
+    that stay or None).  Where a text changes, a column ``length`` follows it.
+    """
+    bounded_batches(df.sparkSession)
+    at = df.columns.index(text)
+    counts = df.columns.index(length) if length in df.columns else None
+    kind, count_kind = (None if i is None else to_arrow(df.schema.fields[i].dataType) for i in (at, counts))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            columns = list(batch.columns)
+            old = columns[at].cast(pa.binary()).to_pylist()
+            texts, flags = work(old)
+            if texts is not None:
+                new = [x if isinstance(x, bytes) or x is None else x.encode() for x in texts]
+                columns[at] = pa.array(new, pa.binary()).cast(kind)
+                if counts is not None:
+                    given = columns[counts].to_pylist()
+                    columns[counts] = pa.array(
+                        [g if n is o or n == o else None if n is None else len(n.decode("utf-8", "replace")) for g, n, o in zip(given, new, old)],
+                        count_kind,
+                    )
+            batch = pa.RecordBatch.from_arrays(columns, names=names)
+            yield batch if flags is None else batch.filter(pa.array(flags, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import multiindex
+
+    return multiindex.link(_table(spark, sf_dir, "embeddings"))
+
+
+#: The conversation that holds the template's control strings as text.
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_turns(rows.unionByName(more)))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.digest_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ppm
+
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
