@@ -358,6 +358,24 @@ def digest_texts(df: DataFrame, path: str, keep: list[str], text: str = "text")
     return map_texts(df, keep, text, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """Every row's ``keep`` columns with ``ids``, their number, and digests of ids and decoded text."""
+
+    def make():
+        bpe = loaded(path)
+
+        def one(raw):
+            ids = bpe.encode((raw or b"").decode("utf-8", "replace"))
+            return (
+                ids, len(ids), hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(),
+                hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
+            )
+
+        return lambda texts: list(zip(*map(one, texts))) if texts else [[], [], [], []]
+
+    return map_texts(df, keep, text, make, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
 _loaded: dict[str, Bpe] = {}
 
 

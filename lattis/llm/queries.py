@@ -38,6 +38,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import multiindex
 
@@ -56,12 +62,31 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(more)))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    found = secrets.find(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.base_digest(F.col("base")).alias("base_sha256"), "spans")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.digest_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ppm
 
