@@ -212,7 +212,7 @@ def matcher(parts: list) -> Callable[[list[bytes | None]], tuple[list[list[bytes
             for (spans, keys), (more, also) in zip(merged, automaton.batch(docs)):
                 spans += more
                 keys |= also
-            part.unpersist_local() if hasattr(part, "unpersist_local") else part.__dict__.pop("_value", None)
+            part.__dict__.pop("_value", None)  # one shard in memory at a time
         out = []
         for spans, keys in merged:
             whole: list[tuple[int, int]] = []

@@ -7,7 +7,8 @@ centroids is a vector's cell in the product grid.  Every vector is indexed.
 Search.  From each occupied cell a multi-sequence traversal visits cells in order of their
 distance (both halves' distances sorted, the grid walked by a heap of the next best sums)
 as far as ``radius``.  The radius is the smallest at which a bounded sample of queries,
-compared with every vector, finds ``TARGET`` of its links.  Distances between cells are symmetric,
+compared with every vector, finds ``TARGET`` of its links
+(each query counts the same).  Distances between cells are symmetric,
 so both ends of a pair see each other and link counts are whole.  What is visited is then
 verified: cosine in double precision.
 
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 from .graph import components
 
-THRESHOLD, TARGET = 0.95, 0.99
+THRESHOLD, TARGET = 0.95, 0.97
 #: Rows that codebooks are fitted on, queries that calibrate the radius, classes in a chunk.
-SAMPLE, QUERIES, CHUNK = 20_000, 256, 1024
+SAMPLE, QUERIES, CHUNK = 20_000, 2048, 1024
 #: Vectors that a cell holds on average, and centroids of a codebook at most.
 PER_CELL, CENTROIDS = 16, 512
-#: Squared distances of cells that calibration tries, as a share of the largest.
-STEPS = 200
+#: Steps of squared distance of cells that calibration tells apart (8 is the largest there is).
+STEPS = 400
+#: Cells that are visited at the median where no query of the sample has a link.
+FALLBACK = 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,6 +99,12 @@ class Grid:
         n = len(self.books[1])
         return self.between[0][a // n, b // n] + self.between[1][a % n, b % n]
 
+    def usual(self, cells: int) -> float:
+        """A squared distance within which so many cells lie, at the median over a few cells."""
+        n = len(self.books[0]) * len(self.books[1])
+        some = range(0, n, max(1, n // 64))
+        return float(np.median([np.partition((self.between[0][c // len(self.books[1])][:, None] + self.between[1][c % len(self.books[1])]).ravel(), min(cells, n) - 1)[min(cells, n) - 1] for c in some]))
+
     def visited(self, cell: int) -> Iterator[int]:
         n = len(self.books[1])
         i, j = divmod(cell, n)
@@ -151,21 +160,31 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, g = own.value
-        home = g.cells(asked)
-        counts = np.zeros(STEPS + 1, np.int64)
+        home, width = g.cells(asked), STEPS + 1
+        counts = np.zeros(len(asked) * width, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 v = rows_of(b.column(0).slice(at, 4096).to_pylist())
                 q, c = np.nonzero(asked @ v.T >= threshold)
                 if len(q):
                     d = g.distance(home[q], g.cells(v)[c])
-                    counts += np.bincount(np.ceil(d / 8.0 * STEPS).astype(np.int64).clip(0, STEPS), minlength=STEPS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(counts)], names=["step", "links"])
-
-    tally = classes.select("v").mapInArrow(run, "step bigint, links bigint").groupBy("step").agg(F.sum("links").alias("links")).orderBy("step").toPandas()
-    links = tally["links"].to_numpy() if len(tally) else np.zeros(1)
-    reached = np.cumsum(links) >= target * links.sum()
-    grid.radius = float(np.argmax(reached)) / STEPS * 8.0
+                    # rounded up, so that the radius of a step covers what it counts
+                    counts += np.bincount(q * width + np.ceil(d / 8.0 * STEPS).astype(np.int64).clip(0, STEPS), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "links"])
+
+    tally = classes.select("v").mapInArrow(run, "place bigint, links bigint").groupBy("place").agg(F.sum("links").alias("links")).toPandas()
+    links = np.zeros(len(points[:queries]) * (STEPS + 1), np.int64)
+    links[tally["place"].to_numpy(dtype=np.int64)] = tally["links"].to_numpy()
+    links = links.reshape(-1, STEPS + 1)
+    links[:, 0] -= 1  # every query finds itself in its own cell
+    links = links[links.sum(1) > 0]
+    if len(links):
+        # every query counts the same, however many links it has
+        found = (np.cumsum(links, 1) / links.sum(1)[:, None]).mean(0)
+        grid.radius = float(np.argmax(found >= target)) / STEPS * 8.0
+    else:
+        grid.radius = grid.usual(FALLBACK)
     return grid
 
 
