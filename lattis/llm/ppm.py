@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -261,7 +262,8 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text", parts: int =
     under = math.log10(tokens + 0.1 * (distinct + 1))
     least = _threshold(word_table, words)
     frequent = word_table.where(F.col("n") >= least).select("word", "n").toArrow()
-    known = context.broadcast(dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist())))
+    # packed arrays travel; each worker builds its own tables, the driver none
+    known = context.broadcast((frequent["word"].combine_chunks(), frequent["n"].to_numpy()))
     del frequent
     shards = max(1, math.ceil(head.nodes / shard_nodes))
     low = grams_table.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
@@ -269,7 +271,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text", parts: int =
     tries = []
     for s in range(shards):
         part = grams_table.where(shard_of(F.col("gram"), shards) == s).select("gram", "n").toArrow()
-        tries.append(context.broadcast(Trie(part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy(), low_arrays)))
+        tries.append(context.broadcast((part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy(), low_arrays)))
         del part
     scored = cut(_first_pass(df, ident, text, parts, known, tries, ends), "scored")
     # what the broadcast words leave open, pre-aggregated per document, meets the rare words as rows
@@ -321,8 +323,7 @@ def _first_pass(df, ident, text, parts, known, tries, ends):
     end_base = math.log10(ends + 0.1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = known.value.get
-        logs = {}
+        counts = built(known, lambda words, n: dict(zip(words.to_pylist(), n.tolist()))).get
         for batch in batches:
             texts = [(t or b"").lower() for t in batch.column(3).to_pylist()]
             n_tokens, n_known, base, rare = [], [], [], []
@@ -337,7 +338,7 @@ def _first_pass(df, ident, text, parts, known, tries, ends):
                 n_known.append(len(c) + (ends > 0))
                 base.append(float(np.log10(np.array(c, np.float64) + 0.1).sum()) + end_base)
                 rare.append([{"word": x, "times": n} for x, n in Counter(missing).items()])
-            total = code_lengths(texts, tries)
+            total = code_lengths(texts, [partial(built, t, Trie) for t in tries])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, rare_kind)],
                 names=names,
@@ -347,27 +348,33 @@ def _first_pass(df, ident, text, parts, known, tries, ends):
     return source.mapInArrow(run, schema)
 
 
+def built(broadcast, make, keep: bool = True):
+    """What a worker process makes of a broadcast, once while it is kept."""
+    if "built" not in broadcast.__dict__:
+        found = make(*broadcast.value)
+        broadcast.__dict__.pop("_value", None)
+        if not keep:
+            return found
+        broadcast.__dict__["built"] = found
+    return broadcast.__dict__["built"]
+
+
 def code_lengths(texts: list[bytes], tries: list) -> np.ndarray:
-    """log10 probability of each (lower-cased) text; ``tries``: broadcasts of all shards."""
+    """log10 probability of each (lower-cased) text; ``tries``: functions that give all shards, one at a time."""
     out = np.zeros(len(texts))
     if not texts:
         return out
     symbols, ends = stream(texts)
-    for t in tries:
-        trie = t.value
+    for shard, give in enumerate(tries):
+        trie = give(keep=len(tries) == 1)
         for at in range(ORDER, len(symbols), SLICE):
             stop = min(at + SLICE, len(symbols))
-            mask = places(symbols, ends, at, stop)
-            keys = grams(symbols, at, stop)
-            where = np.flatnonzero(mask)
-            keys = keys[where]
+            where = np.flatnonzero(places(symbols, ends, at, stop))
+            keys = grams(symbols, at, stop)[where]
             if len(tries) > 1:
-                own = shard_of_keys(keys, len(tries)) == tries.index(t)
+                own = shard_of_keys(keys, len(tries)) == shard
                 keys, where = keys[own], where[own]
-            if not len(keys):
-                continue
-            doc = np.searchsorted(ends, where + at)
-            out += np.bincount(doc, trie.score(keys), len(texts))
-        if len(tries) > 1:
-            t.__dict__.pop("_value", None)  # one shard in memory at a time
+            if len(keys):
+                doc = np.searchsorted(ends, where + at)
+                out += np.bincount(doc, trie.score(keys), len(texts))
     return out
