@@ -109,7 +109,8 @@ def rewrite_rows(
     """The rows of ``df`` with new texts, or without those that the function rejects.
 
     The function takes a batch of texts and returns (new texts or None, flags of the rows
-    that stay or None).  Where a text changes, a column ``length`` follows it.
+    that stay or None); its ``close``, if any, is called at the end of a task.  Where a text
+    changes, a column ``length`` follows it.
     """
     bounded_batches(df.sparkSession)
     at = df.columns.index(text)
@@ -134,5 +135,6 @@ def rewrite_rows(
                     )
             batch = pa.RecordBatch.from_arrays(columns, names=names)
             yield batch if flags is None else batch.filter(pa.array(flags, pa.bool_()))
+        getattr(work, "close", int)()
 
     return df.mapInArrow(run, df.schema)

@@ -183,6 +183,9 @@ class Model:
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def __getstate__(self):
         return {**self.__dict__, "young": {}, "old": {}}
 
@@ -359,6 +362,12 @@ def accept(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ident, text, label, rows))
 
     def make() -> Callable:
-        return lambda texts: (None, (shared.value.score(texts) < cutoff).tolist())
+        model = shared.value
+
+        def work(texts):
+            return None, (model.score(texts) < cutoff).tolist()
+
+        work.close = model.forget  # the worker lives on for later stages
+        return work
 
     return rewrite_rows(docs, text, make)
