@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges up to which a table of their nodes' minima is broadcast (16 bytes each).
+BROADCAST_EDGES = 500_000
 #: More rounds than any graph needs (they grow with the logarithm of the longest path, squared at worst).
 MAX_ROUNDS = 100
 
@@ -16,9 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: each node hands its neighbours to the smallest node it knows, larger
     neighbours first, then smaller ones; the edges end up as one star per component.  Per
-    round a node's minimum is combined before the shuffle and joined back to its edges; a
-    hub is split by adaptive skew joins, and no task gathers a neighbourhood.  Every round
-    ends in the shared folder.  Null ends and loops are ignored.
+    round a node's minimum is combined before the shuffle and joined back to its edges: by
+    broadcast while there are few edges, so that a hub's stay where they are, else by adaptive
+    joins that split hubs.  No task gathers a neighbourhood.  Every round ends in the shared
+    folder.  Null ends and loops are ignored.
     """
     e = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -26,14 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
+    before, few = None, e.count() <= BROADCAST_EDGES
     for _ in range(MAX_ROUNDS):
-        e = cut(_small_star(_large_star(e)), "edges")
+        e = cut(_small_star(cut(_large_star(e, few), "edges"), few), "edges")
         # a round that changes nothing leaves the same set of edges: count and two sums of hashes
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before or now[0] == 0:
             break
-        before = now
+        before, few = now, now[0] <= BROADCAST_EDGES
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -41,14 +44,18 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _minima(least: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(least) if few else least
+
+
+def _large_star(e: DataFrame, few: bool) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
     larger = e.select(F.col("v").alias("k"), F.col("u").alias("w"))  # each edge seen from its smaller end
-    return larger.join(least, "k").select(F.col("w").alias("u"), F.col("m").alias("v"))
+    return larger.join(_minima(least, few), "k").select(F.col("w").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, few: bool) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = e.join(_minima(least, few), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
