@@ -150,3 +150,15 @@ def test_running_product_streams(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert spark.table("windowed").groupBy("window", "row").count().count() == 6
+
+
+def test_harness(spark, tmp_path):
+    from lattis.plans import harness
+
+    entries, n, m = EDGE["holes"]
+    report = harness.run("m", lambda: matrix(spark, entries, n, m), "csr", parts=3, total=2, save=str(tmp_path))
+    assert len(report.runs) == 1 and report.head == [(3, 4.0)] and "y[3] = 4" in report.summary() and len(report.lines()) == 1
+    folder = sinks.folder(str(tmp_path), "m", 3, "csr", "uniform")
+    saved = spark.read.option("header", True).csv(folder + "/memory_footprint")
+    assert saved.columns == sinks.FOOTPRINT and saved.count() == 3
+    assert harness.task_count(spark, 10**9) == 250 and "version" in harness.cluster(spark)
