@@ -4,17 +4,17 @@ Vectors are scaled to length 1 and cut into two halves.  Each half has a codeboo
 own (k-means on a bounded sample, both fitted independently); the pair of nearest
 centroids is a vector's cell in the product grid.  Every vector is indexed.
 
-Search.  From each occupied cell a multi-sequence traversal visits cells in order of their
-distance (both halves' distances sorted, the grid walked by a heap of the next best sums)
-as far as ``radius``.  The radius is the smallest at which a bounded sample of queries,
-compared with every vector, finds ``TARGET`` of its links
-(each query counts the same).  Distances between cells are symmetric,
-so both ends of a pair see each other and link counts are whole.  What is visited is then
-verified: cosine in double precision.
-
-Blocks.  Rows with the same vector collapse to one class with a multiplicity.  The classes of a
-cell are dealt to chunks of about ``CHUNK``, and each chunk of a cell meets each chunk
-of a visited cell in one task of bounded size.  A task returns sums of links per class and a
+Search.  Each vector visits cells in order of its distance to them by a multi-sequence
+traversal (both halves' distances sorted, the grid walked by a heap of the next best sums), as
+far as ``slack`` beyond its own cell.  The slack is the smallest at which a bounded sample
+of queries, compared with every vector, finds ``TARGET`` of its links (each query counts the
+same).  A pair is found if either vector visits the other's cell; where both do, it counts in
+one of the two cells, so link counts are whole for both ends.  What meets is then verified:
+cosine in double precision.
+
+Blocks.  Rows with the same vector collapse to one class with a multiplicity.  Members and visitors
+of a cell are dealt to chunks of about ``CHUNK``, and every two chunks meet in one
+task of bounded size.  A task returns sums of links per class and a
 spanning forest of the links it saw, never pairs; forests join to components.
 
 Defined cases: vectors that are null, empty or zero, of another length than most, or hold null
@@ -40,10 +40,10 @@ THRESHOLD, TARGET = 0.95, 0.97
 SAMPLE, QUERIES, CHUNK = 20_000, 2048, 1024
 #: Vectors that a cell holds on average, and centroids of a codebook at most.
 PER_CELL, CENTROIDS = 16, 512
-#: Steps of squared distance of cells that calibration tells apart (8 is the largest there is).
-STEPS = 400
-#: Cells that are visited at the median where no query of the sample has a link.
-FALLBACK = 8
+#: Steps of squared distance that calibration tells apart, up to the largest slack it finds.
+STEPS, FARTHEST = 800, 4.0
+#: Slack where no query of the sample has a link.
+FALLBACK = 0.1
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -84,46 +84,32 @@ def traverse(first: np.ndarray, second: np.ndarray, order1: np.ndarray, order2:
 
 class Grid:
     def __init__(self, sample: np.ndarray, k: int):
-        half = sample.shape[1] // 2
-        self.half = half
-        self.books = [codebook(sample[:, :half], k), codebook(sample[:, half:], k)]
-        self.between = [((b[:, None, :] - b[None, :, :]) ** 2).sum(2) if len(b) <= 64 else _squares(b) for b in self.books]
-        self.order = [np.argsort(d, axis=1, kind="stable") for d in self.between]
-        self.radius = 0.0
+        self.half = sample.shape[1] // 2
+        self.books = [codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)]
+        self.slack = 0.0
 
-    def cells(self, vectors: np.ndarray) -> np.ndarray:
-        i, j = nearest(vectors[:, : self.half], self.books[0]), nearest(vectors[:, self.half :], self.books[1])
-        return i * len(self.books[1]) + j
-
-    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = len(self.books[1])
-        return self.between[0][a // n, b // n] + self.between[1][a % n, b % n]
-
-    def usual(self, cells: int) -> float:
-        """A squared distance within which so many cells lie, at the median over a few cells."""
-        n = len(self.books[0]) * len(self.books[1])
-        some = range(0, n, max(1, n // 64))
-        return float(np.median([np.partition((self.between[0][c // len(self.books[1])][:, None] + self.between[1][c % len(self.books[1])]).ravel(), min(cells, n) - 1)[min(cells, n) - 1] for c in some]))
-
-    def visited(self, cell: int) -> Iterator[int]:
-        n = len(self.books[1])
-        i, j = divmod(cell, n)
-        # a hair more than the radius: sums in either order of a pair round alike
-        for x, y in traverse(self.between[0][i], self.between[1][j], self.order[0][i], self.order[1][j], self.radius * (1 + 1e-9)):
-            yield x * n + y
-
-
-def _squares(b: np.ndarray) -> np.ndarray:
-    s = (b * b).sum(1)
-    d = np.maximum(s[:, None] + s[None, :] - 2 * b @ b.T, 0)
-    d = (d + d.T) / 2
-    np.fill_diagonal(d, 0)
-    return d
+    def distances(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """Squared distances of both halves to their centroids, but for a constant of each vector."""
+        halves = vectors[:, : self.half], vectors[:, self.half :]
+        return [(b * b).sum(1)[None, :] - 2 * x @ b.T for x, b in zip(halves, self.books)]
 
-
-def _arrays(column) -> np.ndarray:
-    """A column of packed float32 vectors as rows."""
-    return np.frombuffer(b"".join(column), "<f4").reshape(len(column), -1)
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        one, two = self.distances(vectors)
+        return one.argmin(1) * two.shape[1] + two.argmin(1)
+
+    def visits(self, vectors: np.ndarray) -> list[list[int]]:
+        """The cells that each vector visits, its own first."""
+        one, two = self.distances(vectors)
+        width = two.shape[1]
+        least1, least2 = one.min(1), two.min(1)
+        near1, near2 = one <= (least1 + self.slack)[:, None], two <= (least2 + self.slack)[:, None]
+        out = [[c] for c in (one.argmin(1) * width + two.argmin(1)).tolist()]
+        for r in np.flatnonzero((near1.sum(1) > 1) | (near2.sum(1) > 1)):
+            i, j = np.flatnonzero(near1[r]), np.flatnonzero(near2[r])
+            i, j = i[np.argsort(one[r, i], kind="stable")], j[np.argsort(two[r, j], kind="stable")]
+            home = out[r][0]
+            out[r] += [c for x, y in traverse(one[r], two[r], i, j, least1[r] + least2[r] + self.slack) if (c := x * width + y) != home]
+        return out
 
 
 def packed(df: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -151,7 +137,7 @@ def rows_of(column) -> np.ndarray:
 
 
 def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES, threshold: float = THRESHOLD, target: float = TARGET) -> Grid:
-    """Codebooks from a bounded sample (by hash); radius from queries compared with all classes."""
+    """Codebooks from a bounded sample (by hash); slack from queries compared with all classes."""
     picked = classes.orderBy(F.xxhash64("v")).limit(min(sample, n)).select("v").toArrow()["v"].to_pylist()
     points = rows_of(picked)
     k = int(min(CENTROIDS, max(1, round(np.sqrt(n / PER_CELL))), len(points)))
@@ -160,16 +146,21 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, g = own.value
-        home, width = g.cells(asked), STEPS + 1
+        home, width, ask = g.cells(asked), STEPS + 1, g.distances(asked)
+        columns, least = len(g.books[1]), ask[0].min(1) + ask[1].min(1)
         counts = np.zeros(len(asked) * width, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 v = rows_of(b.column(0).slice(at, 4096).to_pylist())
                 q, c = np.nonzero(asked @ v.T >= threshold)
                 if len(q):
-                    d = g.distance(home[q], g.cells(v)[c])
-                    # rounded up, so that the radius of a step covers what it counts
-                    counts += np.bincount(q * width + np.ceil(d / 8.0 * STEPS).astype(np.int64).clip(0, STEPS), minlength=len(counts))
+                    own_d = g.distances(v[c])
+                    cell, rows = own_d[0].argmin(1) * columns + own_d[1].argmin(1), np.arange(len(q))
+                    there = ask[0][q, cell // columns] + ask[1][q, cell % columns] - least[q]
+                    back = own_d[0][rows, home[q] // columns] + own_d[1][rows, home[q] % columns] - own_d[0].min(1) - own_d[1].min(1)
+                    # rounded up, so that the slack of a step covers what it counts
+                    step = np.ceil(np.minimum(there, back) / FARTHEST * STEPS).astype(np.int64).clip(0, STEPS)
+                    counts += np.bincount(q * width + step, minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "links"])
 
@@ -179,12 +170,11 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
     links = links.reshape(-1, STEPS + 1)
     links[:, 0] -= 1  # every query finds itself in its own cell
     links = links[links.sum(1) > 0]
+    grid.slack = FALLBACK
     if len(links):
         # every query counts the same, however many links it has
         found = (np.cumsum(links, 1) / links.sum(1)[:, None]).mean(0)
-        grid.radius = float(np.argmax(found >= target)) / STEPS * 8.0
-    else:
-        grid.radius = grid.usual(FALLBACK)
+        grid.slack = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
     return grid
 
 
@@ -201,9 +191,7 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", thresh
     if n == 0:
         return rows.select(F.col("ident").alias(ident), F.lit(0).cast("bigint").alias("n_links"), F.col("ident").alias("component_id"), F.lit(True).alias("kept"))
     grid = fit(grouped, n, threshold=threshold)
-    filed = cut(_filed(grouped, grid), "cells")
-    occupied = filed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    found = cut(_blocks(filed, occupied, grid, threshold), "found")
+    found = cut(_blocks(cut(_filed(grouped, grid), "cells"), threshold), "found")
     counts = found.where("n is not null").groupBy("uid").agg(F.sum("n").alias("n"))
     parts = components(found.where("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     classes = grouped.select("uid", "v", "copies", "least").join(counts, "uid", "left").join(parts.withColumnRenamed("node", "uid"), "uid", "left")
@@ -216,70 +204,81 @@ def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", thresh
 
 
 def _filed(classes: DataFrame, grid: Grid) -> DataFrame:
+    """Classes with ``home``, their cell, and ``away``, the other cells that they visit."""
     shared = classes.sparkSession.sparkContext.broadcast(grid)
+    cells = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = shared.value.cells(rows_of(b.column(1).to_pylist())) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.astype(np.int64))], names=["uid", "v", "copies", "cell"])
+            seen = shared.value.visits(rows_of(b.column(1).to_pylist())) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1:] for x in seen], cells)], names=["uid", "v", "copies", "home", "away"]
+            )
 
-    return classes.select("uid", "v", "copies").mapInArrow(run, "uid bigint, v binary, copies bigint, cell bigint")
+    return classes.select("uid", "v", "copies").mapInArrow(run, "uid bigint, v binary, copies bigint, home bigint, away array<bigint>")
 
 
-def _blocks(filed: DataFrame, occupied: DataFrame, grid: Grid, threshold: float) -> DataFrame:
+def _blocks(filed: DataFrame, threshold: float) -> DataFrame:
     """(uid, n) sums of links and (uid, other) edges of forests, from all chunks that meet."""
-    shared = filed.sparkSession.sparkContext.broadcast(grid)
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell in b.column(0).to_pylist():
-                other = [x for x in shared.value.visited(cell) if x >= cell]
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(other), pa.int64()), pa.array(other, pa.int64())], names=["cell", "other"])
-
-    met = occupied.select("cell").mapInArrow(visits, "cell bigint, other bigint")
-    sizes = occupied.select(F.col("cell").alias("other"), F.col("chunks").alias("other_chunks"))
-    met = cut(met.join(sizes, "other").join(occupied.select("cell", "chunks"), "cell"), "met")
-    chunk = F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")
-    left = filed.join(met, "cell").select(
-        F.struct("cell", "other").alias("pair"), chunk.alias("a"), F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1)).alias("b"), F.lit(0).alias("side"), "uid", "v", "copies"
-    )
-    # a cell met with itself: only chunks a <= b
-    own = F.col("pair.cell") == F.col("pair.other")
-    right = filed.withColumnRenamed("cell", "other").join(met.withColumn("own_chunks", F.col("chunks")).drop("chunks").withColumnRenamed("other_chunks", "chunks"), "other").select(
-        F.struct("cell", "other").alias("pair"), F.explode(F.sequence(F.lit(0), F.col("own_chunks") - 1)).alias("a"), chunk.alias("b"), F.lit(1).alias("side"), "uid", "v", "copies"
-    )
-    sides = left.unionByName(right).where(~own | (F.col("a") <= F.col("b")))
-    # within one chunk of one cell both sides are the same rows
-    sides = sides.where(~(own & (F.col("a") == F.col("b")) & (F.col("side") == 1)))
+    visitors = filed.select("uid", "v", "copies", "home", "away", F.explode("away").alias("cell"))
+    chunks = lambda n: F.greatest(F.ceil(F.col(n) / CHUNK), F.lit(1)).cast("int")
+    members = filed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n"))
+    callers = visitors.groupBy("cell").agg(F.count("*").alias("k"))
+    # at most CENTROIDS squared rows
+    sizes = F.broadcast(cut(members.join(callers, "cell", "left").select("cell", chunks("n").alias("own"), chunks("k").alias("guests")), "sizes"))
+    own_chunk = F.pmod(F.xxhash64("uid"), F.col("own")).cast("int")
+    guest_chunk = F.pmod(F.xxhash64("uid"), F.col("guests")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(side).alias("side"))
+    rows = ["uid", "v", "copies", "home", "away"]
+    # members meet the guests of every chunk, and the members of the other chunks once
+    mine = filed.withColumn("cell", F.col("home")).join(sizes, "cell").withColumn("c", own_chunk)
+    mine = mine.select("cell", *rows, F.explode(F.concat(
+        F.transform(upto("guests"), lambda g: place("guests", F.col("c"), g, 0)),
+        F.transform(F.filter(upto("own"), lambda o: o > F.col("c")), lambda o: place("members", F.col("c"), o, 0)),
+        F.transform(F.filter(upto("own"), lambda o: o < F.col("c")), lambda o: place("members", o, F.col("c"), 1)),
+    )).alias("p"))
+    theirs = visitors.join(sizes, "cell").withColumn("c", guest_chunk)
+    theirs = theirs.select("cell", *rows, F.explode(F.transform(upto("own"), lambda o: place("guests", o, F.col("c"), 1))).alias("p"))
+    met = mine.unionByName(theirs).select("cell", "p.kind", "p.a", "p.b", "p.side", *rows)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = bool(pdf["same"].iloc[0])
-        if same:
-            two = one
-        empty = pd.DataFrame({"uid": [], "n": [], "other": []}).astype({"uid": "int64", "n": "Int64", "other": "Int64"})
-        if not len(one) or not len(two):
+        empty = pd.DataFrame({"uid": pd.array([], "int64"), "n": pd.array([], "Int64"), "other": pd.array([], "Int64")})
+        guests, cell = pdf["kind"].iloc[0] == "guests", int(pdf["cell"].iloc[0])
+        within = guests and int(pdf["b"].iloc[0]) == 0  # the members of a chunk meet each other where they meet the first guests
+        if not len(one) or not (len(two) or within and len(one) > 1):
             return empty
         ids1, ids2 = one["uid"].to_numpy(), two["uid"].to_numpy()
-        close = rows_of(one["v"].tolist()) @ rows_of(two["v"].tolist()).T >= threshold
-        if same:
+        v1 = rows_of(one["v"].tolist())
+        copies1 = one["copies"].to_numpy().astype(np.float64)
+        uid, n, edges = [], [], []
+        if within:
+            close = v1 @ v1.T >= threshold
             np.fill_diagonal(close, False)
-        n1 = close @ two["copies"].to_numpy().astype(np.float64)
-        n2 = np.zeros(0) if same else one["copies"].to_numpy().astype(np.float64) @ close
-        if not n1.any():
-            return empty
-        forest = spanning(close, ids1, ids2)
-        has1, has2 = n1 > 0, n2 > 0
-        uid = np.concatenate([ids1[has1], ids2[has2] if not same else ids2[:0], forest[:, 0]])
-        n = np.concatenate([n1[has1], n2[has2], np.zeros(len(forest))]).astype(np.int64)
-        other = np.concatenate([np.zeros(has1.sum() + has2.sum(), np.int64), forest[:, 1]])
-        is_count = np.arange(len(uid)) < has1.sum() + has2.sum()
-        return pd.DataFrame({"uid": uid, "n": pd.array(np.where(is_count, n, 0), "Int64").copy(), "other": pd.array(other, "Int64")}).assign(
-            n=lambda d: d["n"].where(is_count), other=lambda d: d["other"].where(~is_count)
-        )
-
-    same = own & (F.col("a") == F.col("b"))
-    return sides.withColumn("same", same).groupBy("pair", "a", "b").applyInPandas(block, "uid bigint, n bigint, other bigint")
+            uid.append(ids1)
+            n.append(close @ copies1)
+            edges.append(spanning(close, ids1, ids1))
+        if len(two):
+            close = v1 @ rows_of(two["v"].tolist()).T >= threshold
+            if guests:
+                # a pair that visits both ways counts in the smaller cell
+                homes = two["home"].to_numpy()
+                for i, away in enumerate(one["away"]):
+                    if len(away):
+                        close[i] &= ~(np.isin(homes, away) & (homes < cell))
+            uid += [ids1, ids2]
+            n += [close @ two["copies"].to_numpy().astype(np.float64), copies1 @ close]
+            edges.append(spanning(close, ids1, ids2))
+        uid, n, edges = np.concatenate(uid), np.concatenate(n).astype(np.int64), np.concatenate(edges)
+        uid, n = uid[n > 0], n[n > 0]
+        none = lambda k: pd.array([pd.NA] * k, "Int64")
+        return pd.concat([
+            pd.DataFrame({"uid": uid, "n": pd.array(n, "Int64"), "other": none(len(uid))}),
+            pd.DataFrame({"uid": edges[:, 0], "n": none(len(edges)), "other": pd.array(edges[:, 1], "Int64")}),
+        ])
+
+    return met.groupBy("cell", "kind", "a", "b").applyInPandas(block, "uid bigint, n bigint, other bigint")
 
 
 def spanning(close: np.ndarray, ids1: np.ndarray, ids2: np.ndarray) -> np.ndarray:
