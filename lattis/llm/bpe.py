@@ -38,7 +38,9 @@ from .common import map_texts
 #: White space as the pattern's engine knows it (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words kept by each generation of the cache, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 48
+CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+#: Pairs of tokens whose compatibility is kept.
+CACHE_PAIRS = 250_000
 #: Length of the longer of the two prefixes of a word whose states are kept too, in bytes.
 PREFIX = 10
 #: Characters of a text that are worked on at a time.
@@ -185,7 +187,7 @@ class Bpe:
                     break
                 fits = compatible.get((left, t))
                 if fits is None:
-                    if len(compatible) > 1_000_000:
+                    if len(compatible) > CACHE_PAIRS:
                         compatible.clear()
                     fits = compatible[left, t] = self._fits(left, t)
                 if fits:
@@ -208,7 +210,7 @@ class Bpe:
             if m < k < end:
                 symbols += filter(self.known.__contains__, word[m:k])
                 self._extend(symbols, starts, tokens, before)
-                if len(self.prefixes) >= CACHE_WORDS:
+                if len(self.prefixes) >= CACHE_WORDS // 2:
                     self.prefixes.clear()
                 self.prefixes[word[:k]] = (tuple(symbols), tuple(starts), tuple(tokens))
                 m = k
@@ -246,6 +248,10 @@ class Bpe:
             end = starts[end]
         return out[::-1]
 
+    def forget(self) -> None:
+        """Drop what is only kept for speed."""
+        self.young, self.old, self.prefixes, self.compatible = {}, {}, {}, {}
+
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.old.get(word)
         if ids is None:
@@ -371,7 +377,11 @@ def tokenize(df: DataFrame, path: str, keep: list[str], text: str = "text") -> D
                 hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
             )
 
-        return lambda texts: list(zip(*map(one, texts))) if texts else [[], [], [], []]
+        def work(texts):
+            return list(zip(*map(one, texts))) if texts else [[], [], [], []]
+
+        work.close = bpe.forget  # the worker lives on for other stages
+        return work
 
     return map_texts(df, keep, text, make, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

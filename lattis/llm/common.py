@@ -7,6 +7,9 @@ a re-read, never a recomputation of Python stages, and never a wrong result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch, so that very long rows do not pile up in a Python worker.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2048
 #: Name of the column that carries the text to Python.
 TEXT = "__text"
 
@@ -61,6 +64,18 @@ def as_bytes(text: str = "text") -> F.Column:
     return F.col(text).cast("string").cast("binary").alias(TEXT)
 
 
+def release(work: object) -> None:
+    """End of a task: caches that ``work`` offers to drop go, and free memory goes back to the system.
+
+    Workers are used again by later stages, beside the executor's own memory.
+    """
+    getattr(work, "close", int)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[str],
@@ -71,7 +86,8 @@ def map_texts(
     """Columns ``keep`` of every row, and the columns that Python derives from its text.
 
     ``make`` runs once per task and returns the function for a batch of texts, which
-    returns one list (or Arrow array) for each column of ``fields`` (a DDL string).
+    returns one list (or Arrow array) for each column of ``fields`` (a DDL string); its
+    ``close``, if any, is called at the end of the task.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -90,6 +106,7 @@ def map_texts(
                 [*columns[:-1], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(derived, arrow, strict=True))],
                 names=names,
             )
+        release(work)
 
     return source.mapInArrow(run, schema)
 
@@ -135,6 +152,6 @@ def rewrite_rows(
                     )
             batch = pa.RecordBatch.from_arrays(columns, names=names)
             yield batch if flags is None else batch.filter(pa.array(flags, pa.bool_()))
-        getattr(work, "close", int)()
+        release(work)
 
     return df.mapInArrow(run, df.schema)

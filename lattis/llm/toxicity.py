@@ -47,7 +47,7 @@ RATIO, GAIN = 8.0, 0.002
 #: The share of toxic bags that a word must explain a second or third time.
 AGAIN = 0.02
 LONGEST = 32
-CACHE = 300_000
+CACHE = 120_000
 CUTOFF = 0.5
 
 #: Characters that stand for letters.
@@ -337,7 +337,13 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     shared2 = docs.sparkSession.sparkContext.broadcast(model)
 
     def summaries():
-        return lambda texts: [shared2.value.summaries(texts).tolist()]
+        fitted = shared2.value
+
+        def work(texts):
+            return [fitted.summaries(texts).tolist()]
+
+        work.close = fitted.forget
+        return work
 
     found = map_texts(sample, ["id", "y"], "text", summaries, "x array<double>")
     # repeated ids could multiply rows: the bound holds for rows too
