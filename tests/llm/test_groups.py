@@ -182,3 +182,30 @@ def test_multiindex_small_chunks_and_empty(spark, monkeypatch):
     assert sum(r.n_links for r in out.values()) >= 0.97 * sum(links.values()) and {i: r.component_id for i, r in out.items()} == groups
     assert multiindex.link(df.limit(0)).count() == 0
     assert multiindex.link(df.select("vec_id", F.lit(None).cast("array<float>").alias("embedding"))).where("kept").count() == 90
+
+
+def near_copies_of(texts):
+    """Brute force: ids (places) that one_of_each keeps, and all pairs at 0.8 or more."""
+    own = [shingles(t) for t in texts]
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    return sorted(set(union_find(range(len(texts)), pairs).values())), pairs
+
+
+def test_near_copies_at_exactly_the_similarity(spark, docs):
+    """Pairs on both sides of 0.8, of equal and unequal lengths: exactly those of brute force."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, at = [], {True: 0, False: 0}
+    for n in (8, 9, 24, 104, 204):
+        for tail in range(0, n // 3, max(1, n // 40)):
+            w = [word() for _ in range(n)]
+            texts += [" ".join(w), " ".join(w + [word() for _ in range(tail)])]
+            texts += [" ".join(v := [word() for _ in range(n)]), " ".join(v[: n - tail // 2] + [word() for _ in range(tail // 2)])]
+    for a in range(0, len(texts), 2):
+        one, two = shingles(texts[a]), shingles(texts[a + 1])
+        s = len(one & two) / len(one | two)
+        if 0.72 <= s < 0.9:
+            at[s >= 0.8] += 1
+    assert min(at.values()) >= 15 and any(5 * len(shingles(a) & shingles(b)) == 4 * len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2]))
+    kept, _ = near_copies_of(texts)
+    assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
