@@ -209,3 +209,22 @@ def test_near_copies_at_exactly_the_similarity(spark, docs):
     assert min(at.values()) >= 15 and any(5 * len(shingles(a) & shingles(b)) == 4 * len(shingles(a) | shingles(b)) for a, b in zip(texts[::2], texts[1::2]))
     kept, _ = near_copies_of(texts)
     assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
+
+
+def test_near_copies_in_a_hot_posting(spark, docs, monkeypatch):
+    """Unlike texts that share a template, and a few near copies among them: blocks lose no pair."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    template, texts = words(154), []
+    for i in range(110):
+        own = words(6)
+        texts.append(" ".join(template + own + words(19)))
+        if i < 40:
+            texts.append(" ".join(template + own + words(19)))
+    rng.shuffle(texts)
+    kept, pairs = near_copies_of(texts)
+    assert len(pairs) == 40 and len(kept) == 110
+    monkeypatch.setattr(simhash_wide, "COMMON", 0)  # so that the template's postings stay hot
+    monkeypatch.setattr(simhash_wide, "SMALL", 4)
+    monkeypatch.setattr(simhash_wide, "BLOCK", 4)
+    assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
