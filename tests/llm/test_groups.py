@@ -228,3 +228,28 @@ def test_near_copies_in_a_hot_posting(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash_wide, "SMALL", 4)
     monkeypatch.setattr(simhash_wide, "BLOCK", 4)
     assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
+
+
+def test_groups_are_those_of_brute_force(spark, docs, monkeypatch):
+    """Chains of edited texts, pairs at 0.72 to 0.9 and short texts: one of each brute-force component stays, nothing else goes."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for n in (6, 12, 40, 100, 250):
+        for _ in range(12):
+            w = [word() for _ in range(n)]
+            texts.append(" ".join(w))
+            for _ in range(3):  # each an edit of the one before
+                for _ in range(rng.randint(1, max(1, n // 45))):
+                    w[rng.randrange(n)] = word()
+                w = w + [word() for _ in range(rng.randint(0, 1))]
+                texts.append(" ".join(w))
+    rng.shuffle(texts)
+    own = [shingles(t) for t in texts]
+    near = [len(a & b) / len(a | b) for k, a in enumerate(own) for b in own[:k]]
+    assert sum(0.8 <= s < 0.9 for s in near) >= 20 and sum(0.72 <= s < 0.8 for s in near) >= 20
+    kept, _ = near_copies_of(texts)
+    for small, block in ((32, 256), (2, 2)):
+        monkeypatch.setattr(simhash_wide, "SMALL", small)
+        monkeypatch.setattr(simhash_wide, "BLOCK", block)
+        assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
