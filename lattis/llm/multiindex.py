@@ -44,6 +44,8 @@ PER_CELL, CENTROIDS = 16, 512
 STEPS, FARTHEST = 800, 4.0
 #: Slack where no query of the sample has a link.
 FALLBACK = 0.1
+#: Queries with links that a slack under ``FALLBACK`` needs.
+ENOUGH = 50
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -142,7 +144,25 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
     points = rows_of(picked)
     k = int(min(CENTROIDS, max(1, round(np.sqrt(n / PER_CELL))), len(points)))
     grid = Grid(points, k)
-    own = classes.sparkSession.sparkContext.broadcast((points[:queries], grid))
+    counted = np.zeros((0, STEPS + 1), np.int64)
+    # further queries are drawn while few have links
+    for at in range(0, len(points), queries):
+        counted = np.concatenate([counted, _links_by_step(classes, points[at : at + queries], grid, threshold)])
+        if (counted.sum(1) > 0).sum() >= ENOUGH:
+            break
+    links = counted[counted.sum(1) > 0]
+    grid.slack = FALLBACK
+    if len(links):
+        # every query counts the same, however many links it has
+        found = (np.cumsum(links, 1) / links.sum(1)[:, None]).mean(0)
+        measured = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
+        grid.slack = measured if len(links) >= ENOUGH else max(measured, FALLBACK)
+    return grid
+
+
+def _links_by_step(classes: DataFrame, queries: np.ndarray, grid: Grid, threshold: float) -> np.ndarray:
+    """Per query, its links among all classes by the step of slack that covers them."""
+    own = classes.sparkSession.sparkContext.broadcast((queries, grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, g = own.value
@@ -165,17 +185,11 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "links"])
 
     tally = classes.select("v").mapInArrow(run, "place bigint, links bigint").groupBy("place").agg(F.sum("links").alias("links")).toPandas()
-    links = np.zeros(len(points[:queries]) * (STEPS + 1), np.int64)
+    links = np.zeros(len(queries) * (STEPS + 1), np.int64)
     links[tally["place"].to_numpy(dtype=np.int64)] = tally["links"].to_numpy()
     links = links.reshape(-1, STEPS + 1)
     links[:, 0] -= 1  # every query finds itself in its own cell
-    links = links[links.sum(1) > 0]
-    grid.slack = FALLBACK
-    if len(links):
-        # every query counts the same, however many links it has
-        found = (np.cumsum(links, 1) / links.sum(1)[:, None]).mean(0)
-        grid.slack = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
-    return grid
+    return links
 
 
 def link(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:

@@ -253,3 +253,15 @@ def test_groups_are_those_of_brute_force(spark, docs, monkeypatch):
         monkeypatch.setattr(simhash_wide, "SMALL", small)
         monkeypatch.setattr(simhash_wide, "BLOCK", block)
         assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
+
+
+def test_multiindex_slack_of_rare_links(spark):
+    """One pair of links says nothing of others: the slack stays at the fallback, and further queries are drawn."""
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(400, 32))
+    vectors[399] = vectors[398] * 1.0001 + 1e-4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    assert multiindex.fit(multiindex.packed(df, "vec_id", "embedding"), 400).slack >= multiindex.FALLBACK
+    twins = np.repeat(rng.normal(size=(200, 32)), 2, 0) + rng.normal(size=(400, 32)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(twins)], "vec_id bigint, embedding array<double>")
+    assert multiindex.fit(multiindex.packed(df, "vec_id", "embedding"), 400, queries=20).slack < multiindex.FALLBACK
