@@ -42,8 +42,9 @@ TRAIN_ROWS = 20_000
 SPAN, DECAY, CLASSES = 6, 0.5, 64
 #: Seeds, negative words (by hash, then by margin) and landmarks, at most.
 SEEDS, NEGATIVES, HARD, LANDMARKS = 400, 4000, 2000, 384
-#: A seed must stand in this many times more toxic than clean bags (by share), and newly explain this share of toxic bags.
-RATIO, GAIN = 8.0, 0.002
+#: A seed must stand in this many times more toxic than clean bags (by share), and newly explain this share of toxic bags,
+#: or this many where the share asks for more.
+RATIO, GAIN, SUPPORT = 8.0, 0.002, 4
 #: The share of toxic bags that a word must explain a second or third time.
 AGAIN = 0.02
 LONGEST = 32
@@ -280,7 +281,7 @@ def seeds(bags: DataFrame, toxic: int, clean: int) -> list[str]:
     """Words that explain toxic bags, the most telling first."""
     counts = bags.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     ratio = ((F.col("bad") + 0.1) / (toxic + 1)) / ((F.col("good") + 0.1) / (clean + 1))
-    least = max(2, int(GAIN * toxic))
+    least = min(max(2, int(GAIN * toxic)), SUPPORT)
     picked = counts.where((F.col("bad") >= least) & (ratio >= RATIO) & (F.length("word") >= 3)).orderBy(F.desc("bad"), "good", "word").limit(10 * SEEDS)
     # toxic bags of the sample alone, and few words of each
     rows = bags.where("y = 1").join(F.broadcast(picked.select("word")), "word").groupBy("bag").agg(F.collect_list("word").alias("words")).select("words").toArrow()

@@ -198,3 +198,10 @@ def test_toxicity_odd_rows(spark, docs, odd):
     assert {r.doc_id for r in stay.collect()} >= {i for i in range(150) if i % 3} and stay.where(F.col("doc_id") == 0).count() == 0
     assert toxicity.score(docs([]), labels).count() == 0
     assert {r.score for r in toxicity.score(docs(table), labels.limit(0)).collect()} == {0.5}
+
+
+def test_toxicity_seed_of_small_support(spark):
+    """An insult in five of 10,000 toxic bags is a seed."""
+    bags = [(i, 1.0, "nitwit") for i in range(400)] + [(1000 + i, 1.0, "blister") for i in range(5)] + [(5000 + i, 0.0, "table") for i in range(50)]
+    found = toxicity.seeds(spark.createDataFrame(bags, "bag bigint, y double, word string"), 10_000, 10_000)
+    assert found == ["nitwit", "blister"]
