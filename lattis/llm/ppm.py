@@ -8,16 +8,19 @@ symbols of a context are among those of its suffix, so what exclusion leaves of
 depends on the longer context alone and is stored with it; scoring is then exact without
 walking symbol lists.  Below order 0 all symbols that were never seen are equally likely.
 
-Counting.  Each task counts words and n-grams of its own rows, hands them on whenever it
-holds ``HOLD`` distinct ones, and the shuffle adds them up: everything covers all rows.
-
-Scoring.  The trie travels in broadcasts of at most about ``SHARD_NODES`` n-grams, cut by
-the last two context bytes; with several, each batch meets one after the other.  The words
-that most often occur (at most ``WORDS``) travel likewise; all rarer ones are joined as
-rows, pre-aggregated per document.  So nothing that is broadcast grows with the corpus.
+Asking and answering.  Texts are cut into chunks of about ``CHUNK_BYTES``.  One pass over
+them asks: each distinct word and n-gram of a chunk becomes a row, with its count in the chunk's
+training documents.  The rows' sums are the model.  Tries are built and asked
+within groups of n-grams that end in the same two context bytes, dealt to groups of about ``SHARD_NODES``;
+orders 0 and 1, at most 65,536 n-grams, travel to all of them.  The answers (a word's count, an n-gram's
+log probability) are joined to the chunks that asked, and a chunk's texts are scored beside its own
+answers.  No model is held whole anywhere: a task needs the memory of a chunk or a
+group, the driver that of the two lowest orders, and a frequent n-gram makes one row for each
+chunk that holds it.
 
 Defined cases: null text is empty (the end token alone); a null id is the id '' when rows
-are held out; repeated rows count and are scored each; without training rows every count is 0.
+are held out; repeated rows count and are scored each; without training rows every count is 0;
+a text longer than a chunk is a chunk of its own; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -25,20 +28,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, to_arrow
+from .common import as_bytes, bounded_batches, cut, release, to_arrow
 
 ORDER = 5
 SYMBOLS, END = 256, 0xFF  # 0xFF is in no UTF-8 text
-HOLD = 400_000
-SHARD_NODES = 4_000_000
-WORDS = 400_000
+#: Bytes of text, and distinct words and n-grams, that close a chunk.
+CHUNK_BYTES, HOLD = 32 << 20, 1_500_000
+#: N-grams of a group in which tries are built.
+SHARD_NODES = 250_000
 SLICE = 1 << 20
 
 
@@ -72,43 +76,66 @@ def places(symbols: np.ndarray, ends: np.ndarray, start: int, stop: int) -> np.n
     return mask
 
 
-def count_all(df: DataFrame, text: str) -> DataFrame:
-    """(word, gram, n): counts of words (gram null) and of n-grams (word null); the end is the word null, gram -1."""
+def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold: int) -> DataFrame:
+    """Documents with their chunk (``n`` null), and what each chunk asks for (``n``: times in its training documents).
+
+    A row with neither word nor gram counts the training documents of a chunk.
+    """
     bounded_batches(df.sparkSession)
-    names, kinds = ["word", "gram", "n"], [pa.binary(), pa.int64(), pa.int64()]
-
-    def rows(words, keys, counts):
-        n = len(words)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*words, *[None] * len(keys)], pa.binary()),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys, pa.int64())]),
-                pa.array([*words.values(), *counts], pa.int64()),
-            ],
-            names=names,
-        )
+    kind = to_arrow(df.schema[ident].dataType)
+    names = ["chunk", "ident", "held_out", "text", "word", "gram", "n"]
+    kinds = [pa.int64(), kind, pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def made(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, kinds)], names=names)
+
+    def asked(chunk: int, words: dict, keys: np.ndarray, counts: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
+        same = lambda n: pa.array(np.full(n, chunk))
+        yield made(1, chunk=same(1), n=pa.array([docs]))
+        yield made(len(words), chunk=same(len(words)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+        for at in range(0, len(keys), SLICE):
+            own = slice(at, at + SLICE)
+            yield made(len(keys[own]), chunk=same(len(keys[own])), gram=pa.array(keys[own].astype(np.int64)), n=pa.array(counts[own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        keys, counts, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        chunk, size, docs, words, keys, counts = None, 0, 0, Counter(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(0).to_pylist()]
-            docs += len(texts)
-            for t in texts:
-                words.update(t.split())
-            symbols, ends = stream(texts)
-            for at in range(ORDER, len(symbols), 4 * SLICE):
-                stop = min(at + 4 * SLICE, len(symbols))
-                got = grams(symbols, at, stop)[places(symbols, ends, at, stop)]
-                more, n = np.unique(got, return_counts=True)
-                keys, counts = add(np.concatenate([keys, more]), np.concatenate([counts, n]))
-            if len(words) + len(keys) > 2 * HOLD:
-                yield from rows(words, keys.astype(np.int64), counts)
-                words, keys, counts = Counter(), keys[:0], counts[:0]
-        yield from rows(words, keys.astype(np.int64), counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([-1]), pa.array([docs])], names=names)
-
-    return df.select(as_bytes(text)).mapInArrow(run, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+            for rows in pieces(batch, chunk_bytes):
+                texts, out = [(t or b"").lower() for t in rows.column(3).to_pylist()], rows.column(2).to_pylist()
+                more_size = sum(map(len, texts))
+                if size and size + more_size > chunk_bytes or len(words) + len(keys) > hold:
+                    yield from asked(chunk, words, keys, counts, docs)
+                    chunk, size, docs, words, keys, counts = chunk + 1, 0, 0, Counter(), keys[:0], counts[:0]
+                chunk, size = rows.column(0)[0].as_py() << 32 if chunk is None else chunk, size + more_size
+                yield made(len(texts), chunk=pa.array(np.full(len(texts), chunk)), ident=rows.column(1), held_out=rows.column(2), text=pa.array(texts, pa.binary()))
+                for held in (False, True):
+                    part = [t for t, o in zip(texts, out) if o == held]
+                    for t in part:
+                        words.update(dict.fromkeys(t.split(), 0) if held else t.split())
+                    docs += 0 if held else len(part)
+                    symbols, ends = stream(part)
+                    for at in range(ORDER, len(symbols), 4 * SLICE):
+                        stop = min(at + 4 * SLICE, len(symbols))
+                        more, n = np.unique(grams(symbols, at, stop)[places(symbols, ends, at, stop)], return_counts=True)
+                        keys, counts = add(np.concatenate([keys, more]), np.concatenate([counts, n * (not held)]))
+        if chunk is not None:
+            yield from asked(chunk, words, keys, counts, docs)
+        del words, keys, counts
+        release(None)
+
+    # the table that is written from this keeps the chunks as they are numbered
+    source = df.select(F.spark_partition_id().cast("bigint").alias("part"), F.col(ident).alias("ident"), held_out(ident, parts).alias("held_out"), as_bytes(text))
+    return source.mapInArrow(run, f"chunk bigint, ident {df.schema[ident].dataType.simpleString()}, held_out boolean, text binary, word binary, gram bigint, n bigint")
+
+
+def pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of at most about ``size`` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,144 +264,76 @@ def shard_of(key: F.Column, shards: int) -> F.Column:
     return F.pmod(F.shiftright(key, 8).bitwiseAND(F.lit(0xFFFF)) * 40503, F.lit(shards))
 
 
-def shard_of_keys(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64) * 40503 % shards
+# --- the operator -------------------------------------------------------------------------
+
 
+def scores(grams_table: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
+    """(gram, value): log10 probability of every n-gram of a table (gram, n) under those with n > 0."""
+    trained = grams_table.where("n > 0")
+    shards = max(1, math.ceil(trained.count() / shard_nodes))
+    low = trained.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    shared = grams_table.sparkSession.sparkContext.broadcast(tuple(low[c].to_numpy().astype(t) for c, t in (("gram", np.uint64), ("n", np.int64))))
 
-# --- the operator -------------------------------------------------------------------------
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
+        keys = gram.astype(np.uint64)
+        value = Trie(keys[n > 0], n[n > 0], shared.value).score(keys)
+        return pa.table({"gram": gram, "value": value})
 
+    return grams_table.select("gram", "n", shard_of(F.col("gram"), shards).alias("shard")).groupBy("shard").applyInArrow(run, "gram bigint, value double")
 
-def score(df: DataFrame, ident: str = "doc_id", text: str = "text", parts: int = 10, words: int = WORDS, shard_nodes: int = SHARD_NODES) -> DataFrame:
+
+def score(
+    df: DataFrame, ident: str = "doc_id", text: str = "text", parts: int = 10, chunk_bytes: int = CHUNK_BYTES, hold: int = HOLD, shard_nodes: int = SHARD_NODES
+) -> DataFrame:
     """Per row: ident, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    counts = cut(count_all(df.where(~held_out(ident, parts)), text), "counts")
-    grams_table = counts.where("word is null and gram >= 0")
-    word_table = counts.where("gram is null")
-    head = counts.agg(
-        F.sum(F.when(F.col("gram").isNull(), F.col("n"))).alias("tokens"),
-        F.count(F.when(F.col("gram").isNull(), 1)).alias("distinct"),
-        F.sum(F.when(F.col("gram") == -1, F.col("n"))).alias("docs"),
-        F.count(F.when(F.col("gram") >= 0, 1)).alias("nodes"),
-    ).first()
-    ends = head.docs or 0
-    tokens, distinct = (head.tokens or 0) + ends, head.distinct + (ends > 0)
-    under = math.log10(tokens + 0.1 * (distinct + 1))
-    least = _threshold(word_table, words)
-    frequent = word_table.where(F.col("n") >= least).select("word", "n").toArrow()
-    # packed arrays travel; each worker builds its own tables, the driver none
-    known = context.broadcast((frequent["word"].combine_chunks(), frequent["n"].to_numpy()))
-    del frequent
-    shards = max(1, math.ceil(head.nodes / shard_nodes))
-    low = grams_table.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    low_arrays = tuple(low[c].to_numpy().astype(t) for c, t in (("gram", np.uint64), ("n", np.int64)))
-    tries = []
-    for s in range(shards):
-        part = grams_table.where(shard_of(F.col("gram"), shards) == s).select("gram", "n").toArrow()
-        tries.append(context.broadcast((part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy(), low_arrays)))
-        del part
-    scored = cut(_first_pass(df, ident, text, parts, known, tries, ends), "scored")
-    # what the broadcast words leave open, pre-aggregated per document, meets the rare words as rows
-    rare = (
-        scored.select("uid", F.explode("rare").alias("r"))
-        .select("uid", "r.word", F.col("r.times").alias("times"))
-        .join(word_table.where(F.col("n") < least).select("word", F.col("n").alias("c")), "word", "left")
-        .select(
-            "uid",
-            (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"),
-            F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"),
-        )
-    )
-    kind = df.schema[ident].dataType
-    none = lambda t: F.lit(None).cast(t)
-    joined = (
-        scored.select("uid", "ident", "held_out", "n_tokens", "n_known", "base", "score")
-        .unionByName(rare.select("uid", none(kind).alias("ident"), none("boolean").alias("held_out"), none("bigint").alias("n_tokens"), "n_known", "base", none("double").alias("score")))
-        .groupBy("uid")
-        .agg(*(F.max(c).alias(c) for c in ("ident", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
-    )
-    return joined.select(
-        F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(under)).alias("base_score"), "score",
-    )
-
-
-def _threshold(word_table: DataFrame, words: int) -> int:
-    """The least count from which on there are at most ``words`` words."""
-    step = F.floor(F.log2("n") * 8)
-    sizes = word_table.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.max("n").alias("top")).collect()  # a few hundred rows
-    total, least = 0, 1 << 62
-    for row in sorted(sizes, key=lambda r: -r.step):
-        total += row.k
-        if total > words:
-            return row.top + 1
-        least = row.step
-    return 1 if least < 1 << 62 else least
-
-
-def _first_pass(df, ident, text, parts, known, tries, ends):
-    kind = df.schema[ident].dataType
-    # the ids are kept by the table that is written from this
-    source = df.select(F.monotonically_increasing_id().alias("uid"), F.col(ident).alias("ident"), held_out(ident, parts).alias("held_out"), as_bytes(text))
-    made = "n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word:binary,times:bigint>>"
-    schema = f"uid bigint, ident {kind.simpleString()}, held_out boolean, {made}"
-    names = ["uid", "ident", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    table = cut(ask(df, ident, text, parts, chunk_bytes, hold), "asked")
+    documents, asked = table.where("n is null").select("chunk", "ident", "held_out", "text"), table.where("n is not null")
+    counts = cut(asked.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
+    word_table, grams_table = counts.where("word is not null"), counts.where("gram is not null")
+    head = counts.where("gram is null").agg(
+        F.sum("n").alias("tokens"), F.count(F.when((F.col("n") > 0), 1)).alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")
+    ).first()
+    tokens, ends = head.tokens or 0, head.ends or 0
+    under = math.log10(tokens + 0.1 * (head.distinct + 1))
+    of_words = asked.select("chunk", "word").join(word_table.select("word", F.col("n").cast("double").alias("value")), "word")
+    of_grams = asked.select("chunk", "gram").join(cut(scores(grams_table, shard_nodes), "scores"), "gram")
+    answers = of_words.select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), "value").unionByName(of_grams.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    answers = answers.withColumnRenamed("chunk", "asking")
     end_base = math.log10(ends + 0.1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = built(known, lambda words, n: dict(zip(words.to_pylist(), n.tolist()))).get
-        for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(3).to_pylist()]
-            n_tokens, n_known, base, rare = [], [], [], []
-            for t in texts:
-                w = t.split()
-                c = list(map(counts, w))
-                n_tokens.append(len(w) + 1)
-                missing = []
-                if None in c:
-                    missing = [x for x, n in zip(w, c) if n is None]
-                    c = [n for n in c if n is not None]
-                n_known.append(len(c) + (ends > 0))
-                base.append(float(np.log10(np.array(c, np.float64) + 0.1).sum()) + end_base)
-                rare.append([{"word": x, "times": n} for x, n in Counter(missing).items()])
-            total = code_lengths(texts, [partial(built, t, Trie) for t in tries])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, rare_kind)],
-                names=names,
-            )
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        is_word = pc.is_valid(known["word"])
+        words, grams_ = known.filter(is_word), known.filter(pc.invert(is_word))
+        count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist())).__getitem__
+        model = Table(grams_["gram"].to_numpy().astype(np.uint64), grams_["value"].to_numpy())
+        n_tokens, n_known, base, total = [], [], [], []
+        for batch in rows.combine_chunks().to_batches():
+            for part in pieces(batch, 4 * SLICE):
+                texts = part.column(3).to_pylist()
+                for t in texts:
+                    c = np.fromiter(map(count, t.split()), np.float64)
+                    n_tokens.append(len(c) + 1)
+                    n_known.append(int((c > 0).sum()) + (ends > 0))
+                    base.append(float(np.log10(c + 0.1).sum()) + end_base - (len(c) + 1) * under)
+                total.append(code_lengths(texts, model))
+        made = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": np.concatenate(total)}
+        return pa.table({"ident": rows["ident"], "held_out": rows["held_out"], **made})
 
     bounded_batches(df.sparkSession)
-    return source.mapInArrow(run, schema)
-
+    kind = df.schema[ident].dataType.simpleString()
+    scored = documents.groupBy("chunk").cogroup(answers.groupBy("asking")).applyInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
-def built(broadcast, make, keep: bool = True):
-    """What a worker process makes of a broadcast, once while it is kept."""
-    if "built" not in broadcast.__dict__:
-        found = make(*broadcast.value)
-        broadcast.__dict__.pop("_value", None)
-        if not keep:
-            return found
-        broadcast.__dict__["built"] = found
-    return broadcast.__dict__["built"]
 
-
-def code_lengths(texts: list[bytes], tries: list) -> np.ndarray:
-    """log10 probability of each (lower-cased) text; ``tries``: functions that give all shards, one at a time."""
-    out = np.zeros(len(texts))
-    if not texts:
-        return out
+def code_lengths(texts: list[bytes], model: Table) -> np.ndarray:
+    """log10 probability of each (lower-cased) text, whose n-grams are all in ``model``."""
     symbols, ends = stream(texts)
-    for shard, give in enumerate(tries):
-        trie = give(keep=len(tries) == 1)
-        for at in range(ORDER, len(symbols), SLICE):
-            stop = min(at + SLICE, len(symbols))
-            where = np.flatnonzero(places(symbols, ends, at, stop))
-            keys = grams(symbols, at, stop)[where]
-            if len(tries) > 1:
-                own = shard_of_keys(keys, len(tries)) == shard
-                keys, where = keys[own], where[own]
-            if len(keys):
-                doc = np.searchsorted(ends, where + at)
-                out += np.bincount(doc, trie.score(keys), len(texts))
+    out = np.zeros(len(texts))
+    for at in range(ORDER, len(symbols), SLICE):
+        stop = min(at + SLICE, len(symbols))
+        where = np.flatnonzero(places(symbols, ends, at, stop))
+        value, found = model.find(grams(symbols, at, stop)[where])
+        assert found.all()
+        out += np.bincount(np.searchsorted(ends, where + at), value, len(texts))
     return out

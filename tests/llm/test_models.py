@@ -65,13 +65,13 @@ def plain_base(table):
         yield i, (out(i), len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
 
 
-@pytest.mark.parametrize("limits", [(400_000, 4_000_000), (3, 40)])
+@pytest.mark.parametrize("limits", [(ppm.CHUNK_BYTES, ppm.HOLD, ppm.SHARD_NODES), (700, 60, 40), (1, 1, 1)])
 def test_ppm_scores(spark, docs, odd, limits):
     rng = random.Random(3)
     words = ["The", "cat", "sat", "on", "mat\n", "é", "zyx"] + [f"w{i}" for i in range(30)]
     table = [(i, " ".join(rng.choice(words[: rng.randint(2, 37)]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
     table += [(100, None), (101, ""), (None, "no id"), (3, table[3][1]), (102, "unseen unseen words"), (103, "long text " * 20000)]
-    out = ppm.score(odd(docs(table)), words=limits[0], shard_nodes=limits[1]).collect()
+    out = ppm.score(odd(docs(table)), chunk_bytes=limits[0], hold=limits[1], shard_nodes=limits[2]).collect()
     expected = defaultdict(list)
     for i, x in plain_base(table):
         expected[i].append(x)
@@ -86,6 +86,19 @@ def test_ppm_scores(spark, docs, odd, limits):
             assert r.score == pytest.approx(slow.score(lower[r.doc_id]))
 
 
+def test_ppm_asks_once_for_each_chunk(spark, docs):
+    """Chunks keep their size, ask for everything once, and what they ask for adds up to the model."""
+    table = [(i, f"alpha beta w{i % 7} gamma") for i in range(200)] + [(500, "long " * 400), (501, None)]
+    rows = ppm.ask(docs(table, 2), "doc_id", "text", 10, 300, 1_000_000).cache()
+    texts = rows.where("n is null").groupBy("chunk").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("size")).collect()
+    assert len(texts) > 10 and all(r.docs == 1 or r.size <= 300 for r in texts) and sum(r.docs for r in texts) == len(table)
+    asked = rows.where("n is not null")
+    assert asked.groupBy("chunk", "word", "gram").count().where("count > 1").count() == 0
+    train = [t or "" for i, t in table if zlib.crc32(str(i).encode()) % 10]
+    assert asked.agg(F.sum(F.when(F.col("gram").isNotNull(), F.col("n")))).first()[0] == sum(len(t) + 1 for t in train)
+    assert asked.where("word is null and gram is null").agg(F.sum("n")).first()[0] == len(train)
+
+
 def test_ppm_without_training_rows(spark, docs):
     assert ppm.score(docs([])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
