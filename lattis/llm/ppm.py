@@ -13,8 +13,8 @@ them asks: each distinct word and n-gram of a chunk becomes a row, with its coun
 training documents.  The rows' sums are the model.  Tries are built and asked
 within groups of n-grams that end in the same two context bytes, dealt to groups of about ``SHARD_NODES``;
 orders 0 and 1, at most 65,536 n-grams, travel to all of them.  The answers (a word's count, an n-gram's
-log probability) are joined to the chunks that asked, and a chunk's texts are scored beside its own
-answers.  No model is held whole anywhere: a task needs the memory of a chunk or a
+log probability) are joined to the chunks that asked, and a chunk's texts, which travel packed, are scored
+beside its own answers.  No model is held whole anywhere: a task needs the memory of a chunk or a
 group, the driver that of the two lowest orders, and a frequent n-gram makes one row for each
 chunk that holds it.
 
@@ -35,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, release, to_arrow
+from .common import as_bytes, bounded_batches, cut, release
 
 ORDER = 5
 SYMBOLS, END = 256, 0xFF  # 0xFF is in no UTF-8 text
 #: Bytes of text, and distinct words and n-grams, that close a chunk.
-CHUNK_BYTES, HOLD = 32 << 20, 1_500_000
+CHUNK_BYTES, HOLD = 128 << 20, 4_000_000
 #: N-grams of a group in which tries are built.
 SHARD_NODES = 250_000
 SLICE = 1 << 20
@@ -82,9 +82,7 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
     A row with neither word nor gram counts the training documents of a chunk.
     """
     bounded_batches(df.sparkSession)
-    kind = to_arrow(df.schema[ident].dataType)
-    names = ["chunk", "ident", "held_out", "text", "word", "gram", "n"]
-    kinds = [pa.int64(), kind, pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names, kinds = ["chunk", "docs", "word", "gram", "n"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def made(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, kinds)], names=names)
@@ -100,14 +98,14 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size, docs, words, keys, counts = None, 0, 0, Counter(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for rows in pieces(batch, chunk_bytes):
+            for rows in pieces(batch, min(chunk_bytes, 4 * SLICE)):
                 texts, out = [(t or b"").lower() for t in rows.column(3).to_pylist()], rows.column(2).to_pylist()
                 more_size = sum(map(len, texts))
                 if size and size + more_size > chunk_bytes or len(words) + len(keys) > hold:
                     yield from asked(chunk, words, keys, counts, docs)
                     chunk, size, docs, words, keys, counts = chunk + 1, 0, 0, Counter(), keys[:0], counts[:0]
                 chunk, size = rows.column(0)[0].as_py() << 32 if chunk is None else chunk, size + more_size
-                yield made(len(texts), chunk=pa.array(np.full(len(texts), chunk)), ident=rows.column(1), held_out=rows.column(2), text=pa.array(texts, pa.binary()))
+                yield made(1, chunk=pa.array([chunk]), docs=pa.array([packed(rows.column(1), rows.column(2), pa.array(texts, pa.binary()))], pa.binary()))
                 for held in (False, True):
                     part = [t for t, o in zip(texts, out) if o == held]
                     for t in part:
@@ -123,9 +121,23 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
         del words, keys, counts
         release(None)
 
-    # the table that is written from this keeps the chunks as they are numbered
-    source = df.select(F.spark_partition_id().cast("bigint").alias("part"), F.col(ident).alias("ident"), held_out(ident, parts).alias("held_out"), as_bytes(text))
-    return source.mapInArrow(run, f"chunk bigint, ident {df.schema[ident].dataType.simpleString()}, held_out boolean, text binary, word binary, gram bigint, n bigint")
+    # few large chunks ask less often for the same; the table that is written from this keeps the chunks as they are numbered
+    size = df.agg(F.sum(F.length(as_bytes(text)))).first()[0] or 0
+    source = df.select(F.col(ident).alias("ident"), held_out(ident, parts).alias("held_out"), as_bytes(text))
+    source = source.coalesce(max(math.ceil(size / chunk_bytes), df.sparkSession.sparkContext.defaultParallelism))
+    return source.select(F.spark_partition_id().cast("bigint").alias("part"), "*").mapInArrow(run, "chunk bigint, docs binary, word binary, gram bigint, n bigint")
+
+
+def packed(ident: pa.Array, held: pa.Array, texts: pa.Array) -> bytes:
+    """Rows as one compressed piece."""
+    batch, sink = pa.RecordBatch.from_arrays([ident, held, texts], names=["ident", "held_out", "text"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(piece: pa.Buffer | bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(piece).read_next_batch()
 
 
 def pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -278,9 +290,9 @@ def scores(grams_table: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
         gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
         keys = gram.astype(np.uint64)
         value = Trie(keys[n > 0], n[n > 0], shared.value).score(keys)
-        return pa.table({"gram": gram, "value": value})
+        return pa.table({"gram": gram, "value": value.astype(np.float32)})
 
-    return grams_table.select("gram", "n", shard_of(F.col("gram"), shards).alias("shard")).groupBy("shard").applyInArrow(run, "gram bigint, value double")
+    return grams_table.select("gram", "n", shard_of(F.col("gram"), shards).alias("shard")).groupBy("shard").applyInArrow(run, "gram bigint, value float")
 
 
 def score(
@@ -288,7 +300,7 @@ def score(
 ) -> DataFrame:
     """Per row: ident, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     table = cut(ask(df, ident, text, parts, chunk_bytes, hold), "asked")
-    documents, asked = table.where("n is null").select("chunk", "ident", "held_out", "text"), table.where("n is not null")
+    documents, asked = table.where("n is null").select("chunk", "docs"), table.where("n is not null")
     counts = cut(asked.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
     word_table, grams_table = counts.where("word is not null"), counts.where("gram is not null")
     head = counts.where("gram is null").agg(
@@ -298,7 +310,7 @@ def score(
     under = math.log10(tokens + 0.1 * (head.distinct + 1))
     of_words = asked.select("chunk", "word").join(word_table.select("word", F.col("n").cast("double").alias("value")), "word")
     of_grams = asked.select("chunk", "gram").join(cut(scores(grams_table, shard_nodes), "scores"), "gram")
-    answers = of_words.select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), "value").unionByName(of_grams.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    answers = of_words.select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), "value").unionByName(of_grams.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", F.col("value").cast("double").alias("value")))
     answers = answers.withColumnRenamed("chunk", "asking")
     end_base = math.log10(ends + 0.1)
 
@@ -307,18 +319,20 @@ def score(
         words, grams_ = known.filter(is_word), known.filter(pc.invert(is_word))
         count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist())).__getitem__
         model = Table(grams_["gram"].to_numpy().astype(np.uint64), grams_["value"].to_numpy())
-        n_tokens, n_known, base, total = [], [], [], []
-        for batch in rows.combine_chunks().to_batches():
-            for part in pieces(batch, 4 * SLICE):
-                texts = part.column(3).to_pylist()
-                for t in texts:
-                    c = np.fromiter(map(count, t.split()), np.float64)
-                    n_tokens.append(len(c) + 1)
-                    n_known.append(int((c > 0).sum()) + (ends > 0))
-                    base.append(float(np.log10(c + 0.1).sum()) + end_base - (len(c) + 1) * under)
-                total.append(code_lengths(texts, model))
+        n_tokens, n_known, base, total, idents, held = [], [], [], [], [], []
+        for piece in rows["docs"]:
+            batch = unpacked(piece.as_buffer())
+            texts = batch.column(2).to_pylist()
+            for t in texts:
+                c = np.fromiter(map(count, t.split()), np.float64)
+                n_tokens.append(len(c) + 1)
+                n_known.append(int((c > 0).sum()) + (ends > 0))
+                base.append(float(np.log10(c + 0.1).sum()) + end_base - (len(c) + 1) * under)
+            total.append(code_lengths(texts, model))
+            idents.append(batch.column(0))
+            held.append(batch.column(1))
         made = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": np.concatenate(total)}
-        return pa.table({"ident": rows["ident"], "held_out": rows["held_out"], **made})
+        return pa.table({"ident": pa.concat_arrays(idents), "held_out": pa.concat_arrays(held), **made})
 
     bounded_batches(df.sparkSession)
     kind = df.schema[ident].dataType.simpleString()

@@ -90,8 +90,10 @@ def test_ppm_asks_once_for_each_chunk(spark, docs):
     """Chunks keep their size, ask for everything once, and what they ask for adds up to the model."""
     table = [(i, f"alpha beta w{i % 7} gamma") for i in range(200)] + [(500, "long " * 400), (501, None)]
     rows = ppm.ask(docs(table, 2), "doc_id", "text", 10, 300, 1_000_000).cache()
-    texts = rows.where("n is null").groupBy("chunk").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("size")).collect()
-    assert len(texts) > 10 and all(r.docs == 1 or r.size <= 300 for r in texts) and sum(r.docs for r in texts) == len(table)
+    texts = defaultdict(list)
+    for r in rows.where("n is null").collect():
+        texts[r.chunk] += ppm.unpacked(bytes(r.docs)).column(2).to_pylist()
+    assert len(texts) > 10 and all(len(x) == 1 or sum(map(len, x)) <= 300 for x in texts.values()) and sum(map(len, texts.values())) == len(table)
     asked = rows.where("n is not null")
     assert asked.groupBy("chunk", "word", "gram").count().where("count > 1").count() == 0
     train = [t or "" for i, t in table if zlib.crc32(str(i).encode()) % 10]
