@@ -40,10 +40,11 @@ from .common import as_bytes, bounded_batches, cut, release
 ORDER = 5
 SYMBOLS, END = 256, 0xFF  # 0xFF is in no UTF-8 text
 #: Bytes of text, and distinct words and n-grams, that close a chunk.
-CHUNK_BYTES, HOLD = 128 << 20, 4_000_000
+CHUNK_BYTES, HOLD = 64 << 20, 4_000_000
 #: N-grams of a group in which tries are built.
 SHARD_NODES = 250_000
 SLICE = 1 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(ident: str, parts: int = 10) -> F.Column:
@@ -87,7 +88,9 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
     def made(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, kinds)], names=names)
 
-    def asked(chunk: int, words: dict, keys: np.ndarray, counts: np.ndarray, docs: int) -> Iterator[pa.RecordBatch]:
+    def asked(chunk: int, words: dict, tally: Tally, docs: int) -> Iterator[pa.RecordBatch]:
+        tally.settle()
+        keys, counts = tally.keys, tally.counts
         same = lambda n: pa.array(np.full(n, chunk))
         yield made(1, chunk=same(1), n=pa.array([docs]))
         yield made(len(words), chunk=same(len(words)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
@@ -96,14 +99,14 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
             yield made(len(keys[own]), chunk=same(len(keys[own])), gram=pa.array(keys[own].astype(np.int64)), n=pa.array(counts[own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, docs, words, keys, counts = None, 0, 0, Counter(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        chunk, size, docs, words, tally = None, 0, 0, Counter(), Tally()
         for batch in batches:
             for rows in pieces(batch, min(chunk_bytes, 4 * SLICE)):
                 texts, out = [(t or b"").lower() for t in rows.column(3).to_pylist()], rows.column(2).to_pylist()
                 more_size = sum(map(len, texts))
-                if size and size + more_size > chunk_bytes or len(words) + len(keys) > hold:
-                    yield from asked(chunk, words, keys, counts, docs)
-                    chunk, size, docs, words, keys, counts = chunk + 1, 0, 0, Counter(), keys[:0], counts[:0]
+                if size and size + more_size > chunk_bytes or len(words) + len(tally.keys) > hold:
+                    yield from asked(chunk, words, tally, docs)
+                    chunk, size, docs, words, tally = chunk + 1, 0, 0, Counter(), Tally()
                 chunk, size = rows.column(0)[0].as_py() << 32 if chunk is None else chunk, size + more_size
                 yield made(1, chunk=pa.array([chunk]), docs=pa.array([packed(rows.column(1), rows.column(2), pa.array(texts, pa.binary()))], pa.binary()))
                 for held in (False, True):
@@ -115,10 +118,10 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
                     for at in range(ORDER, len(symbols), 4 * SLICE):
                         stop = min(at + 4 * SLICE, len(symbols))
                         more, n = np.unique(grams(symbols, at, stop)[places(symbols, ends, at, stop)], return_counts=True)
-                        keys, counts = add(np.concatenate([keys, more]), np.concatenate([counts, n * (not held)]))
+                        tally.take(more, n * (not held))
         if chunk is not None:
-            yield from asked(chunk, words, keys, counts, docs)
-        del words, keys, counts
+            yield from asked(chunk, words, tally, docs)
+        del words, tally
         release(None)
 
     # few large chunks ask less often for the same; the table that is written from this keeps the chunks as they are numbered
@@ -152,7 +155,7 @@ def pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 
 def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order, each once, with the sum of its counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -162,37 +165,51 @@ def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Open hashing from 64-bit keys to rows of a value array, for whole arrays at a time."""
+    """From 64-bit keys to values, for whole arrays at a time.
+
+    Keys lie in the order of their products with an odd number, beside the places where each run of leading bits starts.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 2.5)))
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys = np.full(1 << bits, ~np.uint64(0), np.uint64)
-        self.values = np.zeros(1 << bits, values.dtype)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[slot[left]] == ~np.uint64(0)]
-            self.keys[slot[free]] = keys[free]
-            won = self.keys[slot[left]] == keys[left]
-            self.values[slot[left[won]]] = values[left[won]]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        bits = max(4, math.ceil(math.log2(max(1, len(keys)))))
+        self.shift = np.uint64(64 - bits)
+        spread = keys * MIX
+        order = np.argsort(spread)
+        self.keys, self.values = np.append(spread[order], ~np.uint64(0)), np.append(values[order], values.dtype.type(0))
+        sizes = np.bincount((self.keys[:-1] >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and whether each key is there."""
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        found = there == keys
-        open_ = np.flatnonzero(~found & (there != ~np.uint64(0)))
+        spread = keys * MIX
+        at = self.starts[(spread >> self.shift).astype(np.int64)]
+        there = self.keys[at]
+        found = there == spread
+        open_ = np.flatnonzero(there < spread)
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            there = self.keys[slot[open_]]
-            found[open_[there == keys[open_]]] = True
-            open_ = open_[(there != keys[open_]) & (there != ~np.uint64(0))]
-        return self.values[slot], found
+            at[open_] += 1
+            there = self.keys[at[open_]]
+            found[open_[there == spread[open_]]] = True
+            open_ = open_[there < spread[open_]]
+        found &= at < len(self.keys) - 1  # the last entry stands for no key
+        return self.values[at], found
+
+
+class Tally:
+    """Counts of keys, merged whenever as many have come as are held."""
+
+    def __init__(self):
+        self.keys, self.counts, self.more, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def take(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.more.append((keys, counts))
+        self.n += len(keys)
+        if self.n >= max(SLICE, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> None:
+        self.keys, self.counts = add(*(np.concatenate(x) for x in zip((self.keys, self.counts), *self.more)))
+        self.more, self.n = [], 0
 
 
 class Trie:
