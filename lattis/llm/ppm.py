@@ -40,7 +40,7 @@ from .common import as_bytes, bounded_batches, cut, release
 ORDER = 5
 SYMBOLS, END = 256, 0xFF  # 0xFF is in no UTF-8 text
 #: Bytes of text, and distinct words and n-grams, that close a chunk.
-CHUNK_BYTES, HOLD = 64 << 20, 4_000_000
+CHUNK_BYTES, HOLD = 48 << 20, 4_000_000
 #: N-grams of a group in which tries are built.
 SHARD_NODES = 250_000
 SLICE = 1 << 20
@@ -334,7 +334,8 @@ def score(
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         is_word = pc.is_valid(known["word"])
         words, grams_ = known.filter(is_word), known.filter(pc.invert(is_word))
-        count = dict(zip(words["word"].to_pylist(), words["value"].to_pylist())).__getitem__
+        # whole numbers, most of them small and shared
+        count = dict(zip(words["word"].to_pylist(), words["value"].cast(pa.int64()).to_pylist())).__getitem__
         model = Table(grams_["gram"].to_numpy().astype(np.uint64), grams_["value"].to_numpy())
         n_tokens, n_known, base, total, idents, held = [], [], [], [], [], []
         for piece in rows["docs"]:
@@ -349,6 +350,8 @@ def score(
             idents.append(batch.column(0))
             held.append(batch.column(1))
         made = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": np.concatenate(total)}
+        del count, model, words, grams_, piece, batch, texts
+        release(None)
         return pa.table({"ident": pa.concat_arrays(idents), "held_out": pa.concat_arrays(held), **made})
 
     bounded_batches(df.sparkSession)
@@ -361,8 +364,8 @@ def code_lengths(texts: list[bytes], model: Table) -> np.ndarray:
     """log10 probability of each (lower-cased) text, whose n-grams are all in ``model``."""
     symbols, ends = stream(texts)
     out = np.zeros(len(texts))
-    for at in range(ORDER, len(symbols), SLICE):
-        stop = min(at + SLICE, len(symbols))
+    for at in range(ORDER, len(symbols), SLICE // 4):
+        stop = min(at + SLICE // 4, len(symbols))
         where = np.flatnonzero(places(symbols, ends, at, stop))
         value, found = model.find(grams(symbols, at, stop)[where])
         assert found.all()
