@@ -38,9 +38,9 @@ from .common import map_texts
 #: White space as the pattern's engine knows it (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words kept by each generation of the cache, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+CACHE_WORDS, CACHE_LENGTH = 100_000, 48
 #: Pairs of tokens whose compatibility is kept.
-CACHE_PAIRS = 250_000
+CACHE_PAIRS = 120_000
 #: Length of the longer of the two prefixes of a word whose states are kept too, in bytes.
 PREFIX = 10
 #: Characters of a text that are worked on at a time.
