@@ -122,10 +122,49 @@ secret_pieces = st.sampled_from(["password", "PassWd", "secret", "TOKEN", "token
 @settings(max_examples=500, deadline=None)
 @given(st.lists(secret_pieces, max_size=14).map("".join))
 def test_base_spans(text):
-    base, spans = secrets.scan(text.encode())
+    base, spans = secrets.scan(text.encode(), secrets.Novelty())
     assert base == plain_spans(text) and set(base) <= set(spans)
 
 
+ORDINARY = """getUserAccountByIdV2 release-candidate-2024-07 aws-region-us-east-1-default session_cookie_name_v1_default validateAccessTokenExpiry
+com.example.service.AuthenticationManager /usr/local/share/config/settings.json https://www.example.com/login/index.html 2024-07-15T10:00:00
+DEFAULT_CONNECTION_TIMEOUT authentication-service-production my-staging-database-01 configuration_file_path documentation/reference/index
+HttpResponseStatusCode requestHandlerFactory maximum_retry_attempts default-environment-variable parseDocumentHeader application/json;charset=utf-8
+ThreadPoolExecutor connection_string_builder websocket-server-handler BaseHTTPRequestHandler getElementById refresh_token_interval_seconds""".split()
+
+
+def test_novelty_tells_keys_from_names(spark, docs):
+    """Keys of all alphabets are reported, identifiers, paths and dates near sensitive words are not."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters + letters.upper() + "0123456789", letters + "0123456789", letters + letters.upper(), letters + letters.upper() + "0123456789@#$%^+*", letters]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (14, 20, 24, 32) for _ in range(7) if len(a) > 26 or n >= 20]
+    parts = [re.findall("[A-Za-z]+", x) for x in ORDINARY]
+    names = ORDINARY + [f"{rng.choice(a)}_{rng.choice(b)}_{rng.choice(c)}".lower() for a, b, c in zip(parts * 4, parts[1:] * 4, parts[2:] * 4) if rng.random() < 0.9]
+    names = [n for n in names if len(n) >= secrets.SHORTEST]
+    assert len(keys) >= 100 and len(names) >= 100
+    table = [(i, f"The gate reads its auth value {k} and then goes on as before.") for i, k in enumerate([*keys, *names])]
+    out = {r.doc_id: r for r in secrets.find(docs(table), ["doc_id"]).collect()}
+    hit = [i for i in range(len(keys)) if "novel" in out[i].spans]
+    false = [n for i, n in enumerate(names, len(keys)) if "novel" in out[i].spans]
+    assert len(hit) >= 0.9 * len(keys) and len(false) <= 0.1 * len(names), (len(hit) / len(keys), false)
+
+
+def test_scan_follows_its_definition(spark, docs):
+    """Base columns of the query's rows against the patterns as the contract words them."""
+    rng = random.Random(22)
+    bits = ["password=", "Token : ", "api_key='", "SECRET", "AKIA", "akia", "abcdef0123456789", "AB12CD34EF56", "é\n", " = ", "x" * 9, ";", "0" * 31, "f"]
+    table = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(300, None), (301, "")] + [(5, "token=abcdefgh1")] * 2
+    rules = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8), ("AKIA[A-Z0-9]+", 0, 0, 16), ("[0-9a-f]+", 0, 0, 32)]
+    expected = []
+    for i, t in table:
+        found = [(m.start(), k, m.end()) for k, (p, flags, group, least) in enumerate(rules) for m in re.finditer(p, t or "", flags) if len(m[group]) >= least]
+        expected.append((i, *(sum(x[1] == k for x in found) for k in range(3)), ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))))
+    rows = secrets.find(docs(table), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base) for r in rows) == sorted(expected)
+    assert sum(len(r.base) > 0 for r in rows) > 100
+
+
 def test_novel_spans_and_redaction(spark, docs, odd):
     key = "q7Zp-x81KfWm3Lr9TbYc2Vh6"
     texts = [f"é Authorization: Bearer {key} and more", "authorization follows the_long_identifier_name_of_a_setting here", f"nothing near {key}", None, "", "token = abcdefgh12 AKIA" + "A1" * 8, "auth " + "word " * 30000 + key]
