@@ -12,6 +12,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ BATCH_ROWS = 2048
 TEXT = "__text"
 
 _local: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +52,19 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

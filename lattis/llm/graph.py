@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Edges up to which a table of their nodes' minima is broadcast (16 bytes each).
 BROADCAST_EDGES = 500_000
@@ -31,7 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before, few = None, e.count() <= BROADCAST_EDGES
     for _ in range(MAX_ROUNDS):
-        e = cut(_small_star(cut(_large_star(e, few), "edges"), few), "edges")
+        large = cut(_large_star(e, few), "edges")
+        small = cut(_small_star(large, few), "edges")
+        discard(e, large)
+        e = small
         # a round that changes nothing leaves the same set of edges: count and two sums of hashes
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before or now[0] == 0:

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, rewrite_rows
+from .common import cut, discard, map_texts, rewrite_rows
 from .quality import held_out, training_rows
 
 #: Labelled documents that the model is fitted on, at most.
@@ -349,6 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     found = map_texts(sample, ["id", "y"], "text", summaries, "x array<double>")
     # repeated ids could multiply rows: the bound holds for rows too
     table = found.orderBy(F.xxhash64("id"), "id", "x").limit(rows).toArrow()
+    discard(sample, bags, clean_words)
     model.logit = logistic(np.array(table["x"].to_pylist()).reshape(-1, 3), table["y"].to_numpy())
     return model
 

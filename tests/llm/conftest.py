@@ -21,7 +21,7 @@ def odd(spark):
     def widen(df):
         from pyspark.sql import functions as F
 
-        names = ["uid", "fp", "id", "ident", "word", "gram", "n", "k", "cid", "score", "held_out", "component", "spans", "items", "ids", "base", "y", "x", "__text"]
+        names = ["uid", "fp", "id", "ident", "word", "gram", "n", "k", "cid", "score", "held_out", "component", "spans", "items", "ids", "base", "y", "x", "__text", "__row", "__hash", "__key", "h", "chunk", "docs"]
         return df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
     return widen
