@@ -52,10 +52,10 @@ def weighted(weights: DataFrame, total: int, parts: int) -> DataFrame:
     no axis-sized window runs in one task.
     """
     spark = weights.sparkSession
-    whole = weights.agg(F.coalesce(F.sum("w"), F.lit(0.0)).cast("double").alias("all"))
-    if (whole.first()["all"] or 0) <= 0:
+    whole = weights.agg(F.coalesce(F.sum("w"), F.lit(0.0)).cast("double").alias("all")).first()["all"] or 0
+    if whole <= 0:
         return even(spark, total, parts)
-    before = prefix_sum(weights, "i", "w", "before").crossJoin(F.broadcast(whole))
+    before = prefix_sum(weights, "i", "w", "before").withColumn("all", F.lit(float(whole)))
     share = lambda w: F.floor(w * parts / F.col("all"))
     level = lambda p: F.col("all") * p / F.lit(float(parts))
     # item i reaches p if before(i) does and before(i - 1) = before(i) - w(i - 1) does not: seen from i - 1
@@ -87,6 +87,22 @@ def grid_dims(ranks: int) -> tuple[int, int]:
     return ranks // c, c
 
 
+def bounds_of(table: DataFrame) -> list[tuple[int, int]]:
+    """(part, start) of the parts of a table of cuts that hold something, by start: a row per part."""
+    return [(r.part, r.start) for r in table.where("count > 0").orderBy("start").collect()]
+
+
+def part_at(index: Column, bounds: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """The part that an index falls into, and where that part starts: a binary search of one literal array."""
+    if not bounds:
+        return F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    parts, starts = (F.lit([int(b[i]) for b in bounds]).cast("array<bigint>") for i in (0, 1))
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    # how many parts start at the index or before it, from the highest binary digit down
+    upto = F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.get(starts, n + step - 1) <= index, n + step).otherwise(n))
+    return F.get(parts, upto - 1), F.get(starts, upto - 1)
+
+
 def assign_blocks(entries: DataFrame, row_cuts: DataFrame, col_cuts: DataFrame) -> DataFrame:
     """Entries with ``row_blk``, ``col_blk`` and indices within the block.
 
@@ -94,13 +110,8 @@ def assign_blocks(entries: DataFrame, row_cuts: DataFrame, col_cuts: DataFrame)
     """
     out = entries
     for axis, table in (("row", row_cuts), ("col", col_cuts)):
-        bounds = [(r.part, r.start) for r in table.where("count > 0").orderBy("start").collect()]  # a row per part
-        here = F.col(axis)
-        block, start = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
-        for part, at in bounds:
-            block = F.when(here >= at, F.lit(part).cast("bigint")).otherwise(block)
-            start = F.when(here >= at, F.lit(at).cast("bigint")).otherwise(start)
-        out = out.withColumn(f"{axis}_blk", block).withColumn(f"local_{axis}", here - start)
+        block, start = part_at(F.col(axis), bounds_of(table))
+        out = out.withColumn(f"{axis}_blk", block).withColumn(f"local_{axis}", F.col(axis) - start)
     return out.where("row_blk is not null and col_blk is not null")
 
 
@@ -119,11 +130,7 @@ def block_nnz(matrix: Matrix, grid: tuple[int, int], balance: str = "uniform") -
 def part_weights(matrix: Matrix, axis: str, parts: int, balance: str) -> DataFrame:
     """(part, weight): the weight of each part of one axis."""
     weights = profile.weights(matrix, axis, balance).select(F.col("i").alias(axis), "w")
-    table = cuts(matrix, axis, parts, balance)
-    bounds = [(r.part, r.start) for r in table.where("count > 0").orderBy("start").collect()]  # a row per part
-    part = F.lit(None).cast("bigint")
-    for p, at in bounds:
-        part = F.when(F.col(axis) >= at, F.lit(p).cast("bigint")).otherwise(part)
+    part, _ = part_at(F.col(axis), bounds_of(cuts(matrix, axis, parts, balance)))
     sums = weights.groupBy(part.alias("part")).agg(F.sum("w").alias("weight"))
     return matrix.spark.range(parts).select(F.col("id").alias("part")).join(sums, "part", "left").select("part", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..model import Matrix, ones
 from ..operators import csr, partition, profile, spmv
-from ..sources import matrix_market, views
+from ..sources import matrix_market, scratch, views
 
 PARTS, GRID, LANES, DIGITS = 4, (2, 2), 32, 4
 
@@ -167,6 +167,26 @@ def mm_format(spark, sf_dir):
     return matrix_market.format_lines(_ml(spark, sf_dir).df).select("line")
 
 
+@query(f"SELECT CAST(l_orderkey + 1 AS VARCHAR) || ' ' || CAST(l_partkey + 1 AS VARCHAR) || ' ' || printf('%.12g', l_extendedprice / 7.0) AS line FROM lineitem WHERE l_extendedprice / 7.0 <> floor(l_extendedprice / 7.0)")
+def mm_format_fractions(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), (F.col("l_extendedprice") / 7.0).alias("val"))
+    return matrix_market.format_lines(rows.where(F.col("val") != F.floor("val"))).select("line")
+
+
+@query(f"SELECT row, col, val FROM {ML}")
+def mm_file_round_trip(spark, sf_dir):
+    """Written sorted as many part files, read back as one matrix."""
+    path = scratch.folder(spark, "matrix")
+    matrix_market.write_sorted(_ml(spark, sf_dir), path)
+    return matrix_market.read(spark, path, mode="failfast").df
+
+
+@query("SELECT l_orderkey AS row, l_partkey AS col, CAST(CAST(l_extendedprice / 7.0 AS FLOAT) AS DOUBLE) AS val FROM lineitem")
+def matrix_single_precision(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), (F.col("l_extendedprice") / 7.0).cast("float").cast("double").alias("val"))
+
+
 # --- profiles -------------------------------------------------------------------------------
 
 ROW_PROFILE = f"SELECT r.row, COUNT(l_orderkey) AS nnz, COALESCE(MIN(l_partkey), {N_COL}) AS lo, COALESCE(MAX(l_partkey), -1) AS hi FROM {ROWS} r LEFT JOIN lineitem ON r.row = l_orderkey GROUP BY 1"

@@ -1,9 +1,9 @@
 """Matrix Market coordinate text: a distributed reader and a sorted writer.
 
 Rules of the tolerant reader: comment lines start with ``%``; blank lines are skipped; tokens are
-separated by blanks, tabs and carriage returns; the first other line is the header
-``n_row n_col nnz`` and is removed by its place in the file, not by its text; indices are
-1-based on disk and 0-based here.  A line with a bad token or an index outside the header's
+separated by blanks, tabs and carriage returns; the first other line of every file is its header
+``n_row n_col nnz``, of which one occurrence is no entry; indices are
+1-based on disk and 0-based here.  A folder of files is one matrix; their headers must agree in shape.  A line with a bad token or an index outside the header's
 shape is dropped (``mode="dropmalformed"``) or an error (``mode="failfast"``).
 """
 
@@ -27,12 +27,12 @@ class Header:
     nnz: int
     symmetry: str
     field: str
-    #: The header line's place: its file block and its place in the block.
-    place: tuple[int, int]
+    #: Header lines as they stand in the files, and how many files start with each.
+    texts: tuple[tuple[str, int], ...]
 
 
 def _trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, "^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(value, F.lit(" \t\r"))
 
 
 def is_content(value: Column) -> Column:
@@ -41,11 +41,11 @@ def is_content(value: Column) -> Column:
 
 def parse_triplets(lines: DataFrame, value: str = "value", pattern: bool = False) -> DataFrame:
     """(row, col, val) of data lines, 0-based; null where a token is missing or bad."""
-    tokens = F.split(_trimmed(F.col(value)), BLANKS)
+    # a line is cut into tokens once: filters are not pushed through the generator, which would copy the whole expression
+    cut = lines.select(F.col(value).alias("line"), F.explode(F.array(F.split(_trimmed(F.col(value)), BLANKS))).alias("tokens"))
+    tokens = F.col("tokens")
     val = F.lit(1.0) if pattern else F.get(tokens, F.lit(2)).try_cast("double")
-    return lines.select(
-        (F.get(tokens, F.lit(0)).try_cast("bigint") - 1).alias("row"), (F.get(tokens, F.lit(1)).try_cast("bigint") - 1).alias("col"), val.alias("val"), F.col(value).alias("line")
-    )
+    return cut.select((F.get(tokens, F.lit(0)).try_cast("bigint") - 1).alias("row"), (F.get(tokens, F.lit(1)).try_cast("bigint") - 1).alias("col"), val.alias("val"), "line")
 
 
 def checked(triplets: DataFrame, shape: Shape, mode: str = "dropmalformed") -> DataFrame:
@@ -63,23 +63,40 @@ def checked(triplets: DataFrame, shape: Shape, mode: str = "dropmalformed") -> D
     return triplets.select("row", "col", F.when(F.coalesce(good, F.lit(False)), F.col("val")).otherwise(fail.cast("double")).alias("val"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-
-
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The banner and the first content line of one file, in file order."""
-    lines = _lines(spark, path)
-    first = lines.where(is_content(F.col("value"))).orderBy("block", "at").first()
-    if first is None:
+    """The banner and the shape of a file, or of all files of a folder."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    first = lambda which: F.min_by("value", F.when(which, F.col("place")))
+    files = lines.groupBy("file").agg(first(is_content(F.col("value"))).alias("header"), first(F.col("value").startswith("%%MatrixMarket")).alias("banner"))
+    found = files.where("header is not null").groupBy("header", "banner").agg(F.count("*").alias("files")).orderBy("header", "banner").limit(1000).collect()  # usually one row
+    if not found:
         raise ValueError(f"no header in {path}")
-    tokens = first.value.replace("\t", " ").replace("\r", " ").split()
-    if len(tokens) < 3 or not all(t.lstrip("-").isdigit() for t in tokens[:3]):
-        raise ValueError(f"bad header in {path}: {first.value!r}")
-    banner = lines.where(F.col("value").startswith("%%MatrixMarket")).orderBy("block", "at").first()
-    words = banner.value.lower().split() if banner else []
-    field, symmetry = (words[3], words[4]) if len(words) >= 5 else ("real", "general")
-    return Header(*map(int, tokens[:3]), symmetry, field, (first.block, first.at))
+    shapes = set()
+    for r in found:
+        tokens = r.header.replace("\t", " ").replace("\r", " ").split()
+        if len(tokens) < 3 or not all(t.lstrip("-").isdigit() for t in tokens[:3]):
+            raise ValueError(f"bad header in {path}: {r.header!r}")
+        words = r.banner.lower().split() if r.banner else []
+        shapes.add((*map(int, tokens[:2]), *((words[4], words[3]) if len(words) >= 5 else ("general", "real"))))
+    if len(shapes) > 1:
+        raise ValueError(f"files of {path} differ in shape or kind: {sorted(shapes)[:5]}")
+    n_row, n_col, symmetry, field = shapes.pop()
+    texts: dict[str, int] = {}
+    for r in found:
+        texts[r.header] = texts.get(r.header, 0) + r.files
+    return Header(n_row, n_col, max(int(t.split()[2]) for t in texts), symmetry, field, tuple(texts.items()))
+
+
+def _data(spark: SparkSession, path: str, header: Header) -> DataFrame:
+    """Content lines without one occurrence of its header for each file: lines are a bag, so it does not matter which."""
+    lines = spark.read.text(path)
+    texts = [t for t, _ in header.texts]
+    data = lines.where(is_content(F.col("value")) & ~F.col("value").isin(texts))
+    seen = {r.value: r.n for r in lines.where(F.col("value").isin(texts)).groupBy("value").agg(F.count("*").alias("n")).collect()}  # a row for each header text
+    for text, files in header.texts:
+        if seen[text] > files:
+            data = data.unionByName(spark.range(seen[text] - files).select(F.lit(text).alias("value")))
+    return data
 
 
 def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric: str = "ignore", pattern: str = "error", single: bool = False) -> Matrix:
@@ -88,9 +105,7 @@ def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric:
     if header.field == "pattern" and pattern != "ones":
         raise ValueError("a pattern file has no values; read it with pattern='ones'")
     shape = Shape(header.n_row, header.n_col)
-    block, at = header.place
-    data = _lines(spark, path).where(is_content(F.col("value")) & ~((F.col("block") == block) & (F.col("at") == at)))
-    entries = checked(parse_triplets(data, pattern=header.field == "pattern"), shape, mode)
+    entries = checked(parse_triplets(_data(spark, path, header), pattern=header.field == "pattern"), shape, mode)
     if single:
         entries = entries.withColumn("val", F.col("val").cast("float").cast("double"))
     if symmetric == "expand" and header.symmetry in ("symmetric", "skew-symmetric", "hermitian"):
@@ -99,25 +114,41 @@ def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric:
     return Matrix(entries, shape)
 
 
-def format_lines(entries: DataFrame, digits: int = 17) -> DataFrame:
-    """Entries with ``line``, 1-based.  Integral values have no point; others ``digits`` digits."""
-    whole = (F.col("val") == F.floor("val")) & (F.abs("val") < 1e15)
-    text = F.when(whole, F.col("val").cast("bigint").cast("string")).otherwise(F.format_string(f"%.{digits}g", F.col("val")))
+def format_lines(entries: DataFrame, digits: int = 12) -> DataFrame:
+    """Entries with ``line``, 1-based; values have ``digits`` digits at most, without zeros at the end, and an exponent where they are very large or small."""
+    whole = (F.col("val") == F.floor("val")) & (F.abs("val") < 10.0 ** min(digits, 15))
+    long = F.format_string(f"%.{digits}g", F.col("val"))
+    short = F.when(long.contains("."), F.regexp_replace(F.regexp_replace(long, r"(\.[0-9]*?)0+(e.*)?$", "$1$2"), r"\.(e.*)?$", "$1")).otherwise(long)
+    text = F.when(whole, F.col("val").cast("bigint").cast("string")).otherwise(short)
     return entries.withColumn("line", F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), text))
 
 
-def write_sorted(matrix: Matrix, path: str, digits: int = 17, single_file: bool = False) -> None:
-    """Banner, header and all entries by row and column, as text in ``path``.
+def write_sorted(matrix: Matrix, path: str, digits: int = 12, single_file: bool = False) -> None:
+    """All entries by row and column, as text in ``path``, each part under a banner and the whole matrix's header.
 
     Parts are written in order of their names; ``single_file`` puts all in one.
     """
+    head = F.array(F.lit(SORTED_BANNER), F.lit(f"{matrix.shape.n_row} {matrix.shape.n_col} {matrix.nnz()}"))
     lines = format_lines(matrix.df, digits)
-    head = matrix.spark.createDataFrame([(-2, SORTED_BANNER), (-1, f"{matrix.shape.n_row} {matrix.shape.n_col} {matrix.nnz()}")], "row bigint, line string")
-    head = head.select("row", F.lit(-1).cast("bigint").alias("col"), F.lit(0.0).alias("val"), "line")
-    out = head.unionByName(lines.select("row", "col", "val", "line")).orderBy("row", "col", "val")
-    (out.coalesce(1).sortWithinPartitions("row", "col", "val") if single_file else out).select("line").write.mode("overwrite").text(path)
+    ordered = lines.coalesce(1).sortWithinPartitions("row", "col", "val") if single_file else lines.orderBy("row", "col", "val")
+    # rows are numbered within their part: the first one brings the part's head
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    out = ordered.select("line", first.alias("first")).select(F.explode(F.when(F.col("first"), F.concat(head, F.array("line"))).otherwise(F.array("line"))).alias("line"))
+    if matrix.df.isEmpty():
+        out = matrix.spark.range(1).coalesce(1).select(F.explode(head).alias("line"))
+    out.write.mode("overwrite").text(path)
 
 
-def sort_file(spark: SparkSession, path: str, out: str, digits: int = 17) -> None:
+def sort_file(spark: SparkSession, path: str, out: str, digits: int = 12) -> None:
     """Read, sort and write a matrix file; the source stays."""
     write_sorted(read(spark, path), out, digits)
+
+
+def sort_files(spark: SparkSession, paths: list[str], folder: str, digits: int = 12) -> list[str]:
+    """Sort every file of a list into ``folder``, as sorted_<name>; the written paths."""
+    written = []
+    for path in paths:
+        out = f"{folder.rstrip('/')}/sorted_{path.rstrip('/').rsplit('/', 1)[-1]}"
+        sort_file(spark, path, out, digits)
+        written.append(out)
+    return written

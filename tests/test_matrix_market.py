@@ -1,6 +1,6 @@
 import pytest
 
-from lattis.model import Shape
+from lattis.model import Matrix, Shape
 from lattis.operators import spmv
 from lattis.sources import matrix_market as mm
 
@@ -70,11 +70,37 @@ def test_symmetric_and_pattern(spark, tmp_path):
 
 
 def test_writer_round_trip(spark, tmp_path):
-    matrix = mm.read(spark, write(tmp_path, BANNER + "3 3 4\n3 3 0.1\n1 2 1e300\n1 1 3\n1 1 -2.5\n"))
+    matrix = mm.read(spark, write(tmp_path, BANNER + "3 3 5\n3 3 0.1\n1 2 1e300\n1 1 3\n1 1 -2.5\n2 2 1.25e-7\n"))
     mm.write_sorted(matrix, str(tmp_path / "out"), single_file=True)
     (part,) = (tmp_path / "out").glob("part-*")
-    lines = part.read_text().splitlines()
-    assert lines[:3] == [mm.SORTED_BANNER, "3 3 4", "1 1 -2.5000000000000000"]
+    assert part.read_text().splitlines() == [mm.SORTED_BANNER, "3 3 5", "1 1 -2.5", "1 1 3", "1 2 1e+300", "2 2 1.25e-07", "3 3 0.1"]
     again = mm.read(spark, str(part))
     assert again.shape == Shape(3, 3)
     assert sorted(map(tuple, again.df.collect())) == sorted(map(tuple, matrix.df.collect()))
+
+
+def test_folder_of_parts(spark, tmp_path):
+    """What a distributed write leaves reads back whole; a line that looks like the header stays an entry."""
+    entries = [(i % 40, i % 7, 1.0 + i / 8) for i in range(900)] + [(39, 39, 903.0), (39, 39, 903.0), (0, 0, 5.0)]
+    matrix = Matrix(spark.createDataFrame(entries, "row bigint, col bigint, val double"), Shape(40, 40))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mm.write_sorted(matrix, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert len(parts) > 1 and all(p.read_text().splitlines()[:2] == [mm.SORTED_BANNER, "40 40 903"] for p in parts)
+    again = mm.read(spark, str(tmp_path / "out"), mode="failfast")
+    assert again.shape == Shape(40, 40) and sorted(map(tuple, again.df.collect())) == sorted(entries)
+    (tmp_path / "out" / "more.mtx").write_text("3 3 1\n1 1 1\n")
+    with pytest.raises(ValueError, match="differ"):
+        mm.read(spark, str(tmp_path / "out"))
+    mm.write_sorted(Matrix(matrix.df.limit(0), Shape(2, 3)), str(tmp_path / "none"))
+    assert mm.read(spark, str(tmp_path / "none")).shape == Shape(2, 3) and mm.read(spark, str(tmp_path / "none")).df.count() == 0
+
+
+def test_sort_files(spark, tmp_path):
+    for name, text in (("a.mtx", "2 2 2\n2 1 1.5\n1 2 1\n"), ("b.mtx", "1 1 1\n1 1 4\n")):
+        (tmp_path / name).write_text(text)
+    first, second = mm.sort_files(spark, [str(tmp_path / "a.mtx"), str(tmp_path / "b.mtx")], str(tmp_path / "sorted"))
+    assert first.endswith("sorted_a.mtx") and y_of(mm.read(spark, first)) == [1, 1.5] and y_of(mm.read(spark, second)) == [4]

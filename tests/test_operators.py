@@ -162,3 +162,14 @@ def test_harness(spark, tmp_path):
     saved = spark.read.option("header", True).csv(folder + "/memory_footprint")
     assert saved.columns == sinks.FOOTPRINT and saved.count() == 3
     assert harness.task_count(spark, 10**9) == 250 and "version" in harness.cluster(spark)
+
+
+def test_many_parts(spark):
+    """Blocks of 2,000 parts by one array search, with empty parts between."""
+    bounds = [(p, p * 3) for p in range(2000) if p % 5]
+    block, start = partition.part_at(F.col("id"), bounds)
+    rows = spark.range(0, 6100, 7).select("id", block.alias("b"), start.alias("s")).collect()
+    for r in rows:
+        expected = max((b for b in bounds if b[1] <= r.id), default=(None, None))
+        assert (r.b, r.s) == expected
+    assert spark.range(3).select(partition.part_at(F.col("id"), [])[0].alias("b")).where("b is null").count() == 3
