@@ -8,7 +8,7 @@ Search.  Each vector visits cells in order of its distance to them by a multi-se
 traversal (both halves' distances sorted, the grid walked by a heap of the next best sums), as
 far as ``slack`` beyond its own cell.  The slack is the smallest at which a bounded sample
 of queries, compared with every vector, finds ``TARGET`` of its links (each query counts the
-same).  A pair is found if either vector visits the other's cell; where both do, it counts in
+same), two standard errors allowed for; with fewer than ``ENOUGH`` linked queries it is ``FALLBACK`` at least.  A pair is found if either vector visits the other's cell; where both do, it counts in
 one of the two cells, so link counts are whole for both ends.  What meets is then verified:
 cosine in double precision.
 
@@ -45,7 +45,7 @@ STEPS, FARTHEST = 800, 4.0
 #: Slack where no query of the sample has a link.
 FALLBACK = 0.1
 #: Queries with links that a slack under ``FALLBACK`` needs.
-ENOUGH = 50
+ENOUGH = 100
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -154,7 +154,9 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
     grid.slack = FALLBACK
     if len(links):
         # every query counts the same, however many links it has
-        found = (np.cumsum(links, 1) / links.sum(1)[:, None]).mean(0)
+        share = np.cumsum(links, 1) / links.sum(1)[:, None]
+        # the mean less two of its standard errors, so that few queries do not promise too much
+        found = share.mean(0) - 2 * share.std(0) / np.sqrt(len(share))
         measured = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
         grid.slack = measured if len(links) >= ENOUGH else max(measured, FALLBACK)
     return grid

@@ -265,3 +265,18 @@ def test_multiindex_slack_of_rare_links(spark):
     twins = np.repeat(rng.normal(size=(200, 32)), 2, 0) + rng.normal(size=(400, 32)) * 0.01
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(twins)], "vec_id bigint, embedding array<double>")
     assert multiindex.fit(multiindex.packed(df, "vec_id", "embedding"), 400, queries=20).slack < multiindex.FALLBACK
+
+
+def test_multiindex_sparse_links(spark):
+    """Few links just over the threshold among unlike vectors of 64 dimensions, in other cells than their partners."""
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(6000, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    for k in range(60):
+        c, n = rng.uniform(0.951, 0.97), rng.normal(size=64)
+        n -= (n @ v[2 * k]) * v[2 * k]
+        v[2 * k + 1] = c * v[2 * k] + np.sqrt((1 - c * c) / (n @ n)) * n
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r for r in multiindex.link(df).collect()}
+    assert sum(out[i].n_links == 1 and out[i].component_id == i - i % 2 for i in range(120)) >= 0.97 * 120
+    assert all(out[i].n_links == 0 and out[i].kept for i in range(120, 6000))
