@@ -62,11 +62,25 @@ def word_pattern(top: int) -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
 
+#: Letters and numbers that Unicode 16.0 added, for a Python whose tables are older.
+ADDED = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+        (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+        (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+#: Small letters of capitals that are newer than Python's tables.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
 def char_class(kind: str, top: int) -> str:
     """Ranges of the characters whose category starts with ``kind``, for a pattern's class."""
-    out, start = [], None
+    out, start, added = [], None, {c for a, b in ADDED[kind] for c in range(a, b + 1)}
     for i in range(top + 2):
-        inside = i <= top and unicodedata.category(chr(i))[0] == kind
+        inside = i <= top and (i in added or unicodedata.category(chr(i))[0] == kind)
         if inside and start is None:
             start = i
         elif not inside and start is not None:
@@ -270,7 +284,7 @@ class Bpe:
                     yield [self.special[piece]]
                 elif piece:
                     if not piece.isascii():
-                        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").translate(LOWER)
                     piece = piece.lower()
                     words = (self.latin if below_256(piece) else self.words).findall(piece)
                     got = list(map(self.young.get, words))

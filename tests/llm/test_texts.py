@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -207,6 +208,14 @@ def test_bpe_fixed(model, library, text):
     agree(model, library, text)
 
 
+def test_bpe_classes_of_all_characters(model, library):
+    """Every character after a letter, a sign and a space: the same tokens as the library's."""
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 4096):
+        text = " ".join(f"a{c} :{c}" for c in chars[at : at + 4096])
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(chars[at]))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="thinanreared'é 12", max_size=300) | st.text(max_size=60))
 def test_bpe_random(model, library, text):
