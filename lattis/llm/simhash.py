@@ -6,16 +6,18 @@ differing bits, so at least six of their eight positional bytes agree (the guara
 minimum of the count filter), and at least two of the four byte pairs do.
 
 Index.  Postings of single bytes would hold a 256th of all fingerprints each, which makes
-tallies quadratic.  The index files each distinct fingerprint under every two of its four
-byte pairs: six postings, each of four byte positions with their values.  Within a posting
-the shared positional bytes of a pair are tallied; pairs with six or more stay and are
-verified bit by bit.
+tallies quadratic.  So the index has blocks: fingerprints that agree on two of the four byte
+pairs, of which any linked two share one at least.  Inside a block each fingerprint is filed
+under each of its four other byte positions with the value there.  The index is joined by
+postings, a pair's shared postings are tallied, and pairs whose tally and the block's four
+positions reach the guaranteed minimum stay and are verified bit by bit.
 
 Hot postings.  A posting of more than ``POSTING`` fingerprints never meets as pairs.  Its
-members are filed again under each of their 33 variants with at most one of the 32 other
-bits flipped: two of them share a variant exactly if they differ in two or fewer bits, and
-a variant has at most 33 members.  Each such group is linked as a star, which keeps every
-connection.
+members agree on five positions; they are filed again under each of their 25 variants with at
+most one of the 24 other bits flipped: two of them share a variant exactly if they differ in
+two or fewer bits, and a variant has at most 65 members.  Each such group is linked as a star,
+which keeps every connection.  A linked pair shares two postings of a block at least: either
+both are tallied or one is hot, so no pair is lost.
 
 Only distinct fingerprints travel (copies collapse first, combined before the shuffle);
 groups are found by ``graph.components``.
@@ -27,9 +29,11 @@ each get a row; a null id gets a row and is never the smallest id.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
@@ -38,7 +42,7 @@ from .graph import components
 SEED = 42
 MAX_BITS, MIN_BYTES = 2, 6
 #: Members of a posting up to which its pairs are tallied one by one.
-POSTING = 64
+POSTING = 32
 #: Hashes in memory at a time.
 CHUNK = 1 << 16
 
@@ -71,45 +75,53 @@ def fingerprints(df: DataFrame, keep: list[str], text: str = "text", words: int
     return map_texts(df, keep, text, make, "fp bigint")
 
 
-def _postings() -> list[int]:
-    """For every two of the four byte pairs, the mask of their bits (signed)."""
-    pair = [0xFFFF << (16 * i) for i in range(4)]
-    masks = [pair[i] | pair[j] for i in range(4) for j in range(i + 1, 4)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+#: Positions of a block: two of the four byte pairs.
+BLOCKS = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i in range(4) for j in range(i + 1, 4)]
+
+
+def _mask(positions: Iterable[int]) -> int:
+    """The bits of some byte positions, as a signed number."""
+    m = sum(0xFF << 8 * p for p in set(positions))
+    return m - (1 << 64) if m >> 63 else m
 
 
-def _shared_bytes(x: F.Column) -> F.Column:
-    """Positional bytes on which two fingerprints agree, given their exclusive or."""
-    return sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
+def _masks() -> tuple[list[int], list[list[int]]]:
+    """The mask of every block, and those of the postings inside it."""
+    return [_mask(b) for b in BLOCKS], [[_mask((*b, p)) for p in range(8) if p not in b] for b in BLOCKS]
+
+
+def _shared(index: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries whose key has several, with ``n``, their number."""
+    keyed = index.withColumn("k", F.xxhash64(*keys))
+    return keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
 
 
 def links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints ``fp`` of a table: they join all that link."""
-    masks = _postings()
-    index = prints.select(
-        "fp",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)))).alias("p"),
-    ).select("fp", "p.c", "p.value", F.xxhash64("p.c", "p.value").alias("k"))
-    sizes = index.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    met = index.join(sizes, "k")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
+    blocks, postings = _masks()
+    fp = F.col("fp")
+    filed = prints.select("fp", F.explode(F.lit(list(range(len(blocks))))).alias("c"))
+    in_block = _shared(filed.withColumn("value", fp.bitwiseAND(F.get(F.lit(blocks), F.col("c")))), ["c", "value"])
+    index = in_block.select("fp", "c", F.explode(F.get(F.lit(postings), F.col("c"))).alias("mask"))
+    met = _shared(index.withColumn("value", fp.bitwiseAND(F.col("mask"))), ["mask", "value"])
+    tallied = (
         met.where(F.col("n") <= posting)
-        .groupBy("c", "value")
+        .groupBy("c", "mask", "value")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
-        .select(F.explode("fps").alias("a"), "fps")
-        .select("a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b"))
-        .where((_shared_bytes(x) >= MIN_BYTES) & (F.bit_count(x) <= MAX_BITS))
+        .select("c", F.explode("fps").alias("a"), "fps")
+        .select("c", "a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b"))
+        .groupBy("a", "b", "c")
+        .agg(F.count("*").alias("shared"))
     )
+    pairs = tallied.where((F.col("shared") + len(BLOCKS[0]) >= MIN_BYTES) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    mask = F.element_at(F.array(*map(F.lit, masks)), F.col("c") + 1)
-    near = F.transform(F.filter(flips, lambda f: f.bitwiseAND(mask) == 0), lambda f: F.col("fp").bitwiseXOR(f))
+    near = F.transform(F.filter(flips, lambda f: f.bitwiseAND(F.col("mask")) == 0), lambda f: fp.bitwiseXOR(f))
     stars = (
         met.where(F.col("n") > posting)
-        .select("c", "fp", F.explode(F.concat(F.array("fp"), near)).alias("variant"))
-        .groupBy("c", "variant")
-        .agg(F.collect_list("fp").alias("fps"))
+        .select("fp", F.explode(F.concat(F.array("fp"), near)).alias("variant"))
+        .groupBy("variant")
+        .agg(F.collect_set("fp").alias("fps"))
         .where(F.size("fps") > 1)
         .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
         .where("a != b")
