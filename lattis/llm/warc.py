@@ -12,14 +12,18 @@ Each record is a gzip member (option ``compression=none``: plain).
 
 Paths are URIs for ``pyarrow.fs``.  The archive folder must be shared by all executors.
 
-Defined cases: a null payload is empty; control characters in a header value are percent-encoded;
-a null header value is left out; other record types than asked for never show; an empty table
-gives an archive without page records.
+Defined cases: a null payload is empty; control characters in a header value are percent-encoded
+(percent signs stay as they are, so that URIs do); a null header value is left out; other record
+types than asked for never show; an empty table gives an archive without page records.  Repeated
+rows have a record each; of rows that share the largest id each is a response.  A header without
+a readable length, or of over ``HEAD_BYTES``, is passed over up to the next line that starts a
+record; a record that ends early with its file is left out.  Damaged gzip data stop the job.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import time
 import uuid
@@ -68,6 +72,8 @@ FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE, BATCH_BYTES, BATCH_ROWS, PARTITION_BYTES, FILE_BYTES = 1 << 20, 8 << 20, 2048, 64 << 20, 1 << 30
+#: Bytes of a record's header, at most.
+HEAD_BYTES = 1 << 20
 #: Payloads at least this long are stored once.
 MIN_SHARED = 1000
 #: Groups of equal payloads up to which their table is broadcast (about 60 bytes each).
@@ -103,10 +109,13 @@ class Reader:
             if out:
                 return out
 
-    def until(self, mark: bytes) -> bytes | None:
-        """What stands before a mark; None at the end."""
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What stands before a mark, or ``most`` bytes and more if that has no end; None at the end."""
         start = 0
         while (at := self.buffer.find(mark, start)) < 0:
+            if len(self.buffer) >= most:
+                at = len(self.buffer)
+                break
             start = max(0, len(self.buffer) - len(mark))
             more = self._piece()
             if not more:
@@ -116,6 +125,17 @@ class Reader:
         del self.buffer[: at + len(mark)]
         return out
 
+    def pass_to(self, mark: bytes) -> bool:
+        """Drop all before a mark; whether there is one."""
+        while (at := self.buffer.find(mark)) < 0:
+            del self.buffer[: max(0, len(self.buffer) - len(mark) + 1)]
+            more = self._piece()
+            if not more:
+                return False
+            self.buffer += more
+        del self.buffer[:at]
+        return True
+
     def take(self, n: int) -> bytes:
         while len(self.buffer) < n and (more := self._piece()):
             self.buffer += more
@@ -294,9 +314,20 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     def records(self, source: Reader) -> Iterator[dict]:
-        while (head := source.until(b"\r\n\r\n")) is not None:
+        with contextlib.suppress(EOFError):  # the last record may end early
+            yield from self._records(source)
+
+    def _records(self, source: Reader) -> Iterator[dict]:
+        while (head := source.until(b"\r\n\r\n", HEAD_BYTES)) is not None:
+            if not head.strip():
+                continue
             fields = fields_of(head.lstrip(b"\r\n"))
-            length = int(fields.get("content-length", 0))
+            size = fields.get("content-length", "")
+            if len(head) >= HEAD_BYTES or not (size.isascii() and size.isdigit()):
+                if not source.pass_to(b"\nWARC/"):
+                    return
+                continue
+            length = int(size)
             row = columns_of(fields)
             if not self.wanted(row):
                 source.skip(length + 4)

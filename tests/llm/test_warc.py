@@ -76,3 +76,22 @@ def test_reader_passes_over_blocks(tmp_path):
         counting = Counting(f)
         got = list(reader.records(warc.Reader(counting, False)))
     assert [r["record_id"] for r in got] == ["<2>"] and counting.bytes < 9_000_000
+
+
+def test_broken_records(tmp_path):
+    """A header without a usable length is passed over up to the next record; a cut record is left out."""
+    good = [warc.record({"warc_type": "resource", "record_id": f"<{i}>", "payload": b"abc" * i}) for i in range(4)]
+    bad = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: many\r\n\r\nsome bytes\r\n\r\n"
+    endless = b"WARC/1.1\r\nWARC-Type: resource\r\n" + b"x" * (2 * warc.HEAD_BYTES) + b"\r\n\r\n"
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    for data in (good[0] + bad + good[1] + b"\r\n\r\n" + good[2] + endless + good[3] + good[3][:-12], b"", b"no archive at all"):
+        (tmp_path / "a.warc").write_bytes(data)
+        with (tmp_path / "a.warc").open("rb") as f:
+            got = [(r["record_id"], r["payload"]) for r in reader.records(warc.Reader(f, False))]
+        assert got == ([(f"<{i}>", b"abc" * i) for i in range(4)] if data.startswith(b"WARC") else [])
+
+
+def test_repeated_rows_of_the_largest_id(spark):
+    df = spark.createDataFrame([(1, "u", LONG), (2, "u", LONG), (2, "u", LONG)], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
+    assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
