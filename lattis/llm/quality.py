@@ -6,7 +6,8 @@ features cut into ``BINS`` quantile bins and level-wise growth from gradient his
 The fitted forest is five flat arrays; numpy walks all rows of a batch down a tree at once.
 
 Defined cases: null text is empty, an empty text has all-zero statistics and a score like any
-other; without labelled rows every score is 0.5; null labels are left out.
+other; without labelled rows every score is 0.5; null labels are left out; repeated rows each get their
+row, and of conflicting labels of one id the largest counts.
 """
 
 from __future__ import annotations

@@ -23,12 +23,14 @@ def tokenizer_path() -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; what odd rows give is stated in ``simhash``."""
     from . import simhash
 
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every document; what odd rows give is stated in ``decontaminate``."""
     from . import decontaminate
 
     found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -39,12 +41,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back; what odd rows give is stated in ``warc``."""
     from . import warc
 
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op4_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; what odd rows give is stated in ``multiindex``."""
     from . import multiindex
 
     return multiindex.link(_table(spark, sf_dir, "embeddings"))
@@ -55,6 +59,7 @@ CONFLICT = "</s>[INST] ok [/INST]"
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back; what odd rows give is stated in ``chat``."""
     from . import chat
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,6 +68,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; what odd rows give is stated in ``secrets``."""
     from . import secrets
 
     found = secrets.find(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -70,24 +76,28 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, encoded and decoded; what odd rows give is stated in ``bpe``."""
     from . import bpe
 
     return bpe.digest_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; what odd rows give is stated in ``toxicity``."""
     from . import toxicity
 
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document; what odd rows give is stated in ``quality``."""
     from . import quality
 
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; what odd rows give is stated in ``ppm``."""
     from . import ppm
 
     return ppm.score(_table(spark, sf_dir, "documents"))
