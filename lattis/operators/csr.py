@@ -34,16 +34,33 @@ def row_ptr(matrix: Matrix) -> DataFrame:
     return prefix_sum(closed, "row", "nnz", "ptr").select("row", "ptr")
 
 
-def positions(matrix: Matrix) -> DataFrame:
-    """Entries with ``pos``, their place in the row by column and value."""
-    order = Window.partitionBy("row").orderBy("col", "val")
-    return matrix.df.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
-
-
-def to_arrays(matrix: Matrix) -> DataFrame:
-    """(row, cols, vals): one row of the table per non-empty matrix row."""
-    packed = matrix.df.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
-    return packed.select("row", F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
+def positions(matrix: Matrix, bucket: int = BUCKET) -> DataFrame:
+    """Entries with ``pos``, their place in the row by column and value.
+
+    Matrices of more columns than a bucket take two levels: a window never holds more than
+    a row's entries in one bucket of columns, so that a hub row is the work of many tasks.
+    """
+    if matrix.shape.n_col <= bucket:
+        order = Window.partitionBy("row").orderBy("col", "val")
+        return matrix.df.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
+    own = matrix.df.withColumn("__bucket", F.floor(F.col("col") / bucket))
+    before = Window.partitionBy("row").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("row", "__bucket").agg(F.count("*").alias("__n"))
+    offsets = counts.select("row", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("row", "__bucket").orderBy("col", "val")
+    placed = own.withColumn("pos", F.row_number().over(inside) - 1).join(offsets, ["row", "__bucket"])
+    return placed.select(*matrix.df.columns, (F.col("__offset") + F.col("pos")).cast("bigint").alias("pos"))
+
+
+def to_arrays(matrix: Matrix, width: int | None = None) -> DataFrame:
+    """(row, cols, vals): one row of the table per non-empty matrix row.
+
+    With ``width`` a row comes in pieces of so many columns, (row, piece, cols, vals), which
+    bounds the arrays: the form for matrices with hub rows.
+    """
+    keys = ["row"] if width is None else ["row", F.floor(F.col("col") / width).alias("piece")]
+    packed = matrix.df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
+    return packed.select(*packed.columns[:-1], F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
 
 
 def from_arrays(rows: DataFrame, shape: Shape) -> Matrix:

@@ -15,6 +15,15 @@ def cyclic(entries: DataFrame, parts: int) -> DataFrame:
     return entries.withColumn("part", F.pmod("row", F.lit(parts)).cast("bigint")).withColumn("local_row", F.floor(F.col("row") / parts))
 
 
+def scatter(matrix: Matrix, parts: int) -> DataFrame:
+    """The cyclic split dealt out: partition p of the table holds part p, by row and column.
+
+    One shuffle of all entries; a product alone does without, see ``spmv``.
+    """
+    dealt = cyclic(matrix.df, parts).repartitionById(parts, F.col("part").cast("int"))
+    return dealt.sortWithinPartitions("local_row", "col")
+
+
 def global_row(parts: int) -> Column:
     return F.col("part") + F.col("local_row") * parts
 
@@ -115,6 +124,12 @@ def assign_blocks(entries: DataFrame, row_cuts: DataFrame, col_cuts: DataFrame)
     return out.where("row_blk is not null and col_blk is not null")
 
 
+def slices(x: DataFrame, col_cuts: DataFrame) -> DataFrame:
+    """(col_blk, local_col, x): the dense vector by blocks of columns, indices within the block."""
+    block, start = part_at(F.col("col"), bounds_of(col_cuts))
+    return x.select(block.alias("col_blk"), (F.col("col") - start).alias("local_col"), "x").where("col_blk is not null")
+
+
 def all_blocks(spark: SparkSession, grid: tuple[int, int]) -> DataFrame:
     r, c = grid
     return spark.range(r * c).select(F.floor(F.col("id") / c).alias("row_blk"), F.pmod("id", F.lit(c)).cast("bigint").alias("col_blk"), F.col("id").alias("rank"))

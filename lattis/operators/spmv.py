@@ -33,9 +33,9 @@ def spmv(
     """(row, y) with y = sum of val * x[col]; ``x`` is (col, x) or None for ones.
 
     coo: hash aggregation, combined before the shuffle.  chunked, strided: partial sums of
-    contiguous or round-robin partitions, then merged.  csr: rows as arrays.  salted: ``lanes`` partial
-    sums per row, for hub rows.  rows1d: cyclic row parts.  grid2d: blocks of a
-    process grid with cuts by ``balance``, partial sums merged along grid rows.
+    contiguous or round-robin partitions, then merged.  csr: rows as arrays, those of wide matrices in
+    pieces.  salted: ``lanes`` partial sums per row, for hub rows.  rows1d: cyclic row parts.  grid2d: blocks
+    of a process grid with cuts by ``balance``, partial sums merged along grid rows.
     ``dense``: a row for every index.  Rows or columns outside the shape are not checked
     here; see ``Matrix.within``.
     """
@@ -45,10 +45,12 @@ def spmv(
         raise ValueError("lanes, parts and grid sides start at 1")
     n_col = matrix.shape.n_col
     if strategy == "csr":
-        rows = csr.to_arrays(Matrix(product(matrix, x, n_col).select("row", "col", F.col("p").alias("val")), matrix.shape))
+        wide = n_col > csr.BUCKET
+        rows = csr.to_arrays(Matrix(product(matrix, x, n_col).select("row", "col", F.col("p").alias("val")), matrix.shape), csr.BUCKET if wide else None)
         zero = F.lit(0).cast("double" if exact is None else f"decimal(38,{exact})")
         step = (lambda a, v: a + v) if exact is None else (lambda a, v: (a + v.cast(f"decimal(28,{exact})")).cast(f"decimal(38,{exact})"))
-        y = rows.select("row", F.aggregate("vals", zero, step).cast("double").alias("y"))
+        sums = rows.select("row", F.aggregate("vals", zero, step).alias("y"))
+        y = (sums.groupBy("row").agg(F.sum("y").alias("y")) if wide else sums).select("row", F.col("y").cast("double").alias("y"))
     else:
         entries = product(matrix, x, n_col)
         if strategy == "coo":

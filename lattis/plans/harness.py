@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -82,6 +82,16 @@ def footprints_2d(matrix: Matrix, grid: tuple[int, int], balance: str, threads:
     return sinks.footprint(rows, balance)
 
 
+def run_all(matrices: dict[str, Callable[[], Matrix]], strategies: Sequence[str] = spmv.STRATEGIES, balances: Sequence[str] = ("uniform",), save: str | None = None, **options) -> list[Report]:
+    """``run`` for every matrix under every strategy; those that cut by weight, under every balance too."""
+    return [
+        run(name, load, strategy=strategy, balance=balance, save=save, **options)
+        for name, load in matrices.items()
+        for strategy in strategies
+        for balance in (balances if strategy == "grid2d" else balances[:1])
+    ]
+
+
 def run(
     name: str, load: Callable[[], Matrix], strategy: str = "coo", parts: int = 4, grid: tuple[int, int] = (2, 2), balance: str = "uniform",
     total: int = 5, warmup: int = 1, save: str | None = None,

@@ -65,6 +65,34 @@ def test_csr_round_trip_and_pointers(spark):
     assert sorted((r.row, r.col, r.pos) for r in csr.positions(a).collect()) == [(1, 0, 0), (1, 1, 1), (3, 1, 0)]
 
 
+def test_wide_rows_come_in_pieces(spark, monkeypatch):
+    """A hub row among others, repeated places, more columns than a bucket: two levels give what one gives."""
+    rng = random.Random(4)
+    entries = [(rng.choice([0, 0, 0, 1, 2, 4]), rng.randrange(40), float(rng.randrange(9))) for _ in range(300)]
+    a = matrix(spark, entries, 5, 40)
+    one, two = (sorted(map(tuple, csr.positions(a, bucket).collect())) for bucket in (100, 6))
+    assert one == two
+    pieces = csr.to_arrays(a, 6)
+    assert pieces.where("array_max(cols) - array_min(cols) >= 6").count() == 0 and pieces.groupBy("row", "piece").count().where("count > 1").count() == 0
+    assert sorted(map(tuple, csr.from_arrays(pieces, a.shape).df.collect())) == sorted(entries)
+    monkeypatch.setattr(csr, "BUCKET", 6)
+    x = spark.createDataFrame([(i, i / 4) for i in range(40)], "col bigint, x double")
+    expected = {r: sum(v * c / 4 for i, c, v in entries if i == r) for r in {e[0] for e in entries}}
+    for strategy in ("csr", "grid2d"):
+        for exact in (None, 4):
+            assert {r.row: r.y for r in spmv.spmv(a, x, strategy, grid=(2, 3), exact=exact).collect()} == expected
+
+
+def test_scatter_and_slices(spark):
+    a = matrix(spark, [(i, j, 1.0) for i in range(11) for j in range(3)], 11, 3)
+    dealt = partition.scatter(a, 4)
+    assert dealt.rdd.getNumPartitions() == 4
+    assert dealt.where(F.spark_partition_id() != F.col("part")).count() == 0 and dealt.count() == 33
+    x = spark.createDataFrame([(i, float(i)) for i in range(7)], "col bigint, x double")
+    got = sorted(map(tuple, partition.slices(x, partition.even(spark, 7, 3)).collect()))
+    assert got == [(0, 0, 0.0), (0, 1, 1.0), (0, 2, 2.0), (1, 0, 3.0), (1, 1, 4.0), (2, 0, 5.0), (2, 1, 6.0)]
+
+
 def greedy(w, total, parts):
     """Item by item: cut when the weight so far reaches the next share and enough items are left."""
     everything = sum(w)
