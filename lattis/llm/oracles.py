@@ -67,4 +67,34 @@ SELECT conv_id, COUNT(*) AS n_turns,
 FROM t GROUP BY 1
 """
 
-SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    values = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {values}), lambda c, b: {byte}), 4294967295)"
+
+
+def _jump(shards: int) -> str:
+    """Last landing below ``shards`` of every hash of ``keys``."""
+    return f"""
+    j{shards} AS (
+        SELECT h, CAST(h AS HUGEINT) AS state, CAST(0 AS BIGINT) AS spot, CAST(0 AS BIGINT) AS ahead FROM keys
+        UNION ALL
+        SELECT h, s, ahead, CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / CAST((s // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+        FROM (SELECT h, ahead, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM j{shards} WHERE ahead < {shards})),
+    s{shards} AS (SELECT h, MAX(spot) AS shard FROM j{shards} GROUP BY 1)"""
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS text_crc32,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+keys AS (SELECT DISTINCT h FROM d),{_jump(16)},{_jump(17)}
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(s16.shard AS INT) AS shard, CAST(s17.shard AS INT) AS grown_shard,
+    ROW_NUMBER() OVER (PARTITION BY s16.shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM d JOIN s16 ON s16.h = d.h JOIN s17 ON s17.h = d.h
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5, "op11_shards": OP11}

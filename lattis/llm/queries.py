@@ -1,4 +1,4 @@
-"""The queries of this subpackage: ``op1_`` to ``op10_`` over whole tables.
+"""The queries of this subpackage: ``op1_`` to ``op13_`` over whole tables.
 
 Each function takes (spark, sf_dir) and returns the operator's full result.
 """
@@ -103,6 +103,13 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; what odd rows give is stated in ``shards``."""
+    from . import shards
+
+    return shards.place(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
