@@ -97,4 +97,27 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(s16.shard AS INT) AS shard,
 FROM d JOIN s16 ON s16.h = d.h JOIN s17 ON s17.h = d.h
 """
 
-SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5, "op11_shards": OP11}
+OP12 = f"""
+WITH RECURSIVE r AS (
+    SELECT doc_id, run, COUNT(*) AS k FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+    GROUP BY 1, 2),
+c AS (SELECT run, k, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM c),
+v AS (SELECT word, CAST(SUM(k) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY 1 HAVING SUM(k) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+dels AS (SELECT DISTINCT word, n, head || tail AS rest FROM cuts),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION ALL SELECT d.word, v.word, v.n FROM dels d JOIN v ON v.word = d.rest
+    UNION ALL SELECT v.word, d.word, d.n FROM dels d JOIN v ON v.word = d.rest),
+best AS (SELECT word, COUNT(*) OVER (PARTITION BY word) AS n_near, other, n AS form_n, ROW_NUMBER() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM near),
+f AS (
+    SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN other END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+    FROM v LEFT JOIN best ON best.word = v.word AND place = 1),
+up AS (SELECT word, form AS spot, 1 AS steps FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON f.word = up.spot WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(spot, steps) AS root FROM up GROUP BY 1)
+SELECT f.word, form, COALESCE(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends ON ends.word = f.word
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5, "op11_shards": OP11, "op12_spelling": OP12}

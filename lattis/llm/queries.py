@@ -110,6 +110,13 @@ def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.place(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the spelling that each is a variant of; what odd rows give is stated in ``spelling``."""
+    from . import spelling
+
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
