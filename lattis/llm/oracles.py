@@ -120,4 +120,28 @@ ends AS (SELECT word, arg_max(spot, steps) AS root FROM up GROUP BY 1)
 SELECT f.word, form, COALESCE(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends ON ends.word = f.word
 """
 
-SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5, "op11_shards": OP11, "op12_spelling": OP12}
+OP13 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM k),
+c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+    SELECT c.conv_id, 0 AS part, pos, key, words FROM c JOIN p ON p.conv_id = base WHERE pos < h
+    UNION ALL SELECT c.conv_id, 1, pos, key, words FROM c JOIN p ON p.conv_id = c.conv_id WHERE pos >= h),
+b AS (SELECT conv_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, key, words FROM r),
+path AS (
+    SELECT conv_id, depth, words, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path FROM b
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT conv_id, depth, words, MIN(conv_id) OVER (PARTITION BY depth, path) AS node, depth = MAX(depth) OVER (PARTITION BY conv_id) AS last FROM path),
+n AS (SELECT node, depth, COUNT(*) AS n_convs, MIN(words) AS words, sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+par AS (SELECT n.node, n.depth, m.node AS parent FROM n JOIN m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, COUNT(*) AS n_children FROM par GROUP BY 1, 2),
+under AS (
+    SELECT m.node, m.depth, n.n_convs, n.words, n_children FROM n JOIN m ON m.conv_id = n.node AND m.depth <= n.depth
+    LEFT JOIN kids ON kids.node = n.node AND kids.depth = n.depth),
+up AS (SELECT node, depth, COUNT(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(SUM((n_convs - 1) * words) AS BIGINT) AS saved_tokens FROM under GROUP BY 1, 2)
+SELECT n.node AS conv_id, n.depth, parent AS parent_conv_id, n_convs, COALESCE(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM n JOIN up ON up.node = n.node AND up.depth = n.depth LEFT JOIN par ON par.node = n.node AND par.depth = n.depth LEFT JOIN kids ON kids.node = n.node AND kids.depth = n.depth
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_warc": OP3, "op4_multiindex": OP4, "op5_chat": OP5, "op11_shards": OP11, "op12_spelling": OP12, "op13_prefixes": OP13}
