@@ -9,6 +9,8 @@ from ..model import Matrix, Shape, densify
 
 #: Indices in one bucket of a two-level prefix sum; only bucket totals meet in one task.
 BUCKET = 1 << 16
+#: Entries in one piece of a compressed row.
+PIECE = 1 << 16
 
 
 def prefix_sum(df: DataFrame, index: str, value: str, out: str, bucket: int = BUCKET) -> DataFrame:
@@ -52,15 +54,32 @@ def positions(matrix: Matrix, bucket: int = BUCKET) -> DataFrame:
     return placed.select(*matrix.df.columns, (F.col("__offset") + F.col("pos")).cast("bigint").alias("pos"))
 
 
-def to_arrays(matrix: Matrix, width: int | None = None) -> DataFrame:
-    """(row, cols, vals): one row of the table per non-empty matrix row.
+def to_arrays(matrix: Matrix, size: int = PIECE, bucket: int = BUCKET) -> DataFrame:
+    """(row, piece, cols, vals): compressed rows in pieces of ``size`` entries by place in the row; the last may hold fewer.
 
-    With ``width`` a row comes in pieces of so many columns, (row, piece, cols, vals), which
-    bounds the arrays: the form for matrices with hub rows.
+    Equal entries are counted before they are placed, and take their places as runs.  Places are
+    sums of counts in two levels, so that a window holds one row's different entries in one bucket
+    of columns.  Whatever the weight of a row or of one place in it, no array is longer than ``size``.
     """
-    keys = ["row"] if width is None else ["row", F.floor(F.col("col") / width).alias("piece")]
-    packed = matrix.df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
-    return packed.select(*packed.columns[:-1], F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
+    minus = F.when(F.col("val") == 0, F.col("val").cast("string") == "-0.0").otherwise(F.lit(False))  # grouping alone would merge the two zeros
+    counted = matrix.df.groupBy("row", "col", "val", minus.alias("__minus")).agg(F.count("*").alias("__k"))
+    own = counted.withColumn("val", F.when(F.col("__minus"), F.lit(-0.0)).otherwise(F.col("val"))).withColumn("__bucket", F.floor(F.col("col") / bucket))
+    inside = Window.partitionBy("row", "__bucket").orderBy("col", "val", F.desc("__minus")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__k").over(inside), F.lit(0))
+    if matrix.shape.n_col > bucket:
+        before = Window.partitionBy("row").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = own.groupBy("row", "__bucket").agg(F.sum("__k").alias("__n"))
+        offsets = totals.select("row", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+        placed = own.withColumn("__start", start).join(offsets, ["row", "__bucket"]).withColumn("__start", F.col("__start") + F.col("__offset"))
+    else:
+        placed = own.withColumn("__start", start)
+    end = F.col("__start") + F.col("__k")
+    runs = placed.withColumn("piece", F.explode(F.sequence(F.floor(F.col("__start") / size), F.floor((end - 1) / size))))
+    times = F.least(end, (F.col("piece") + 1) * size) - F.greatest(F.col("__start"), F.col("piece") * size)
+    packed = runs.groupBy("row", "piece").agg(F.array_sort(F.collect_list(F.struct("__start", "col", "val", times.cast("int").alias("times")))).alias("e"))
+    spread = lambda field: F.flatten(F.transform("e", lambda r: F.array_repeat(r[field], r["times"])))
+    plain = ~F.exists("e", lambda r: r["times"] > 1)
+    return packed.select("row", "piece", F.when(plain, F.col("e.col")).otherwise(spread("col")).alias("cols"), F.when(plain, F.col("e.val")).otherwise(spread("val")).alias("vals"))
 
 
 def from_arrays(rows: DataFrame, shape: Shape) -> Matrix:

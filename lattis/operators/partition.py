@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..model import Matrix
 from . import profile
-from .csr import prefix_sum
 
 
 def cyclic(entries: DataFrame, parts: int) -> DataFrame:
@@ -48,44 +47,117 @@ def even(spark: SparkSession, total: int, parts: int) -> DataFrame:
     )
 
 
-def weighted(weights: DataFrame, total: int, parts: int) -> DataFrame:
-    """(part, start, count) of contiguous parts of about equal weight.
+AXES = ("row", "col")
+#: Indices in one bucket of an axis; what is added up along an axis are totals of buckets.
+BUCKET = 1 << 16
+
+
+def _of(by_axis: dict[str, int]) -> Column:
+    """A number for each axis, as a column over ``axis``."""
+    out = F.lit(0).cast("bigint")
+    for axis, value in by_axis.items():
+        out = F.when(F.col("axis") == axis, F.lit(value).cast("bigint")).otherwise(out)
+    return out
+
+
+def _closed(firsts: DataFrame) -> DataFrame:
+    """(axis, part, start, count) from the first index ``t`` that reaches each p/parts; ``none`` marks an axis without weights."""
+    upto = Window.partitionBy("axis").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # a row per part
+    total, parts, p = F.col("n"), F.col("parts"), F.col("p")
+    cut = firsts.withColumn("b", p + F.max(F.when(p > 0, F.col("t") - p)).over(upto)).withColumn("lacking", F.count(F.when((p > 0) & F.col("t").isNull(), 1)).over(upto))
+    good = (F.col("lacking") == 0) & (F.col("b") <= total - 1) & (total - F.col("b") >= parts - p)
+    size = F.floor(total / parts)
+    even = p * size + F.least(p, total - size * parts)
+    start = F.when(F.col("none"), even).when(p == 0, F.lit(0)).when(good, F.col("b")).otherwise(total).cast("bigint")
+    starts = cut.select("axis", "n", p.alias("part"), start.alias("start"))
+    after = F.coalesce(F.lead("start").over(Window.partitionBy("axis").orderBy("part")), total)
+    return starts.select("axis", "part", "start", (after - F.col("start")).cast("bigint").alias("count"))
+
+
+def _every(spark: SparkSession, sides: dict[str, tuple[int, int]]) -> DataFrame:
+    """(axis, p, n, parts) of all parts of all axes."""
+    out = None
+    for axis, (n, parts) in sides.items():
+        rows = spark.range(parts).select(F.lit(axis).alias("axis"), F.col("id").alias("p"), F.lit(n).cast("bigint").alias("n"), F.lit(parts).cast("bigint").alias("parts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    ``weights`` has (i, w) for every index under ``total``, w not negative.  Going through the
-    items, part p starts before the first item whose weight so far reaches p/parts of
+
+def weighted_axes(weights: DataFrame, sides: dict[str, tuple[int, int]]) -> DataFrame:
+    """(axis, part, start, count) of contiguous parts of about equal weight, for all axes of ``sides`` (axis: length, parts).
+
+    ``weights`` has (axis, i, w) for indices of some weight, w not negative; the rest have none.  Going
+    through the items of an axis, part p starts before the first item whose weight so far reaches p/parts of
     all, at most one cut per item and never so late that a later part finds no item; from the first
     part that can't be cut on, parts are empty at the end.  In closed form: with t_p the
     first item that reaches p/parts, part p starts at p + max over q <= p of (t_q - q).
+    Without any weight, parts are even.
 
-    An item crosses few thresholds, so each p comes from one item; nothing is crossed and
-    no axis-sized window runs in one task.
+    Totals of buckets of indices say in which buckets a threshold is reached; only the items of
+    those are added up one by one, each bucket by itself.  Nothing is read back to the driver.
     """
-    spark = weights.sparkSession
-    whole = weights.agg(F.coalesce(F.sum("w"), F.lit(0.0)).cast("double").alias("all")).first()["all"] or 0
-    if whole <= 0:
-        return even(spark, total, parts)
-    before = prefix_sum(weights, "i", "w", "before").withColumn("all", F.lit(float(whole)))
-    share = lambda w: F.floor(w * parts / F.col("all"))
-    level = lambda p: F.col("all") * p / F.lit(float(parts))
-    # item i reaches p if before(i) does and before(i - 1) = before(i) - w(i - 1) does not: seen from i - 1
-    reach = before.select(
-        (F.col("i") + 1).alias("t"), "before", (F.col("before") + F.col("w")).alias("after"), "all",
-        F.explode(F.sequence(F.greatest(share(F.col("before")), F.lit(1)).cast("bigint"), F.greatest(F.least(share(F.col("before") + F.col("w")) + 1, F.lit(parts - 1)), F.greatest(share(F.col("before")), F.lit(1))).cast("bigint"))).alias("p"),
-    )
-    first = reach.where((F.col("p") < parts) & (F.col("after") >= level(F.col("p"))) & (F.col("before") < level(F.col("p"))) & (F.col("t") < total)).groupBy("p").agg(F.min("t").alias("t"))
-    every = spark.range(1, parts).select(F.col("id").alias("p")).join(first, "p", "left")
-    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # one row per part
-    cut = every.select("p", "t", (F.col("p") + F.max(F.col("t") - F.col("p")).over(upto)).alias("b"), F.count(F.when(F.col("t").isNull(), 1)).over(upto).alias("lacking"))
-    good = (F.col("lacking") == 0) & (F.col("b") <= total - 1) & (F.lit(total) - F.col("b") >= F.lit(parts) - F.col("p"))
-    starts = cut.select(F.col("p").alias("part"), F.when(good, F.col("b")).otherwise(F.lit(total)).cast("bigint").alias("start"))
-    starts = starts.unionByName(spark.createDataFrame([(0, 0)], "part bigint, start bigint"))
-    after = F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(total))
-    return starts.select("part", "start", (after - F.col("start")).cast("bigint").alias("count"))
+    parts = _of({a: s[1] for a, s in sides.items()})
+    # a bucket that can't be null: no filter is derived for the join alone, and both uses of the weights share one shuffle
+    own = weights.where("w > 0").select("axis", "i", F.col("w").cast("double").alias("w"), F.coalesce(F.floor(F.col("i") / BUCKET), F.lit(-1)).alias("bucket"))
+    upto = Window.partitionBy("axis").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    totals = own.groupBy("axis", "bucket").agg(F.sum("w").alias("in_bucket"))
+    placed = totals.select("axis", "bucket", "in_bucket", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0.0)).alias("offset"), F.sum("in_bucket").over(Window.partitionBy("axis")).alias("all"))
+    share = lambda w: w * F.col("parts") / F.col("all")
+    crossed = placed.withColumn("parts", parts).where(F.ceil(share(F.col("offset")) - 1e-9) <= F.floor(share(F.col("offset") + F.col("in_bucket")) + 1e-9))
+    # a bucket for each part at most, and those whose edge is a threshold
+    items = own.join(F.broadcast(crossed), ["axis", "bucket"])
+    inside = Window.partitionBy("axis", "bucket").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    before = items.withColumn("before", F.col("offset") + F.coalesce(F.sum("w").over(inside), F.lit(0.0)))
+    lowest = F.greatest(F.floor(share(F.col("before"))), F.lit(1)).cast("bigint")
+    highest = F.greatest(F.least(F.floor(share(F.col("before") + F.col("w"))) + 1, F.col("parts") - 1), lowest).cast("bigint")
+    level = F.col("all") * F.col("p") / F.col("parts").cast("double")
+    reach = before.select("axis", (F.col("i") + 1).alias("t"), "before", (F.col("before") + F.col("w")).alias("after"), "all", "parts", F.explode(F.sequence(lowest, highest)).alias("p"))
+    hit = reach.where((F.col("p") < F.col("parts")) & (F.col("after") >= level) & (F.col("before") < level))
+    # parts come in by a union, not by a join, from which filters would be derived for one use of the weights alone
+    blank = _every(weights.sparkSession, sides).select("axis", "p", F.lit(None).cast("bigint").alias("t"))
+    every = hit.select("axis", "p", "t").unionByName(blank).groupBy("axis", "p").agg(F.min("t").alias("t")).withColumns({"n": _of({a: s[0] for a, s in sides.items()}), "parts": parts})
+    # every threshold of an axis with weights is reached by some item, if only the last
+    none = F.max("t").over(Window.partitionBy("axis")).isNull()
+    return _closed(every.withColumn("none", none).withColumn("t", F.when(F.col("t") < F.col("n"), F.col("t"))))
+
+
+def uniform_axes(spark: SparkSession, sides: dict[str, tuple[int, int]]) -> DataFrame:
+    """The same where every index weighs 1: thresholds are known, nothing is read."""
+    level = F.col("n").cast("double") * F.col("p") / F.col("parts").cast("double")
+    t = F.ceil(level).cast("bigint")
+    return _closed(_every(spark, sides).withColumn("t", F.when(t < F.col("n"), t)).withColumn("none", F.col("n") <= 0))
+
+
+def weighted(weights: DataFrame, total: int, parts: int) -> DataFrame:
+    """(part, start, count) of one axis, from (i, w)."""
+    return weighted_axes(weights.select(F.lit("row").alias("axis"), "i", "w"), {"row": (total, parts)}).drop("axis")
+
+
+def _cuts(matrix: Matrix, sides: dict[str, int], balance: str) -> DataFrame:
+    lengths = {"row": matrix.shape.n_row, "col": matrix.shape.n_col}
+    sized = {axis: (lengths[axis], parts) for axis, parts in sides.items()}
+    if balance == "uniform":
+        return uniform_axes(matrix.spark, sized)
+    return weighted_axes(profile.sparse_weights(matrix, balance, tuple(sides)), sized)
 
 
 def cuts(matrix: Matrix, axis: str, parts: int, balance: str = "uniform") -> DataFrame:
-    n = matrix.shape.n_row if axis == "row" else matrix.shape.n_col
-    return weighted(profile.weights(matrix, axis, balance), n, parts)
+    """(part, start, count) of one axis."""
+    return _cuts(matrix, {axis: parts}, balance).drop("axis")
+
+
+#: Cuts of an axis as they come to the driver: (part, start, count), a row per part.
+Cuts = list[tuple[int, int, int]]
+
+
+def both_cuts(matrix: Matrix, grid: tuple[int, int], balance: str = "uniform") -> tuple[Cuts, Cuts]:
+    """Cuts of rows and of columns, from one scan of the entries."""
+    found = _cuts(matrix, dict(zip(AXES, grid)), balance).collect()
+    return tuple(sorted((r.part, r.start, r["count"]) for r in found if r.axis == axis) for axis in AXES)
+
+
+def as_table(spark: SparkSession, cuts: Cuts) -> DataFrame:
+    return spark.createDataFrame(cuts, "part bigint, start bigint, count bigint")
 
 
 def grid_dims(ranks: int) -> tuple[int, int]:
@@ -96,9 +168,10 @@ def grid_dims(ranks: int) -> tuple[int, int]:
     return ranks // c, c
 
 
-def bounds_of(table: DataFrame) -> list[tuple[int, int]]:
-    """(part, start) of the parts of a table of cuts that hold something, by start: a row per part."""
-    return [(r.part, r.start) for r in table.where("count > 0").orderBy("start").collect()]
+def bounds_of(cuts: DataFrame | Cuts) -> list[tuple[int, int]]:
+    """(part, start) of the parts that hold something, by start: a row per part."""
+    rows = cuts.select("part", "start", "count").collect() if isinstance(cuts, DataFrame) else cuts
+    return sorted(((part, start) for part, start, count in rows if count > 0), key=lambda b: b[1])
 
 
 def part_at(index: Column, bounds: list[tuple[int, int]]) -> tuple[Column, Column]:
@@ -112,10 +185,10 @@ def part_at(index: Column, bounds: list[tuple[int, int]]) -> tuple[Column, Colum
     return F.get(parts, upto - 1), F.get(starts, upto - 1)
 
 
-def assign_blocks(entries: DataFrame, row_cuts: DataFrame, col_cuts: DataFrame) -> DataFrame:
+def assign_blocks(entries: DataFrame, row_cuts: DataFrame | Cuts, col_cuts: DataFrame | Cuts) -> DataFrame:
     """Entries with ``row_blk``, ``col_blk`` and indices within the block.
 
-    The tables of cuts have a row per part; they are small and travel as literals of an array search.
+    Cuts have a row per part; they are small and travel as literals of an array search.
     """
     out = entries
     for axis, table in (("row", row_cuts), ("col", col_cuts)):
@@ -124,10 +197,14 @@ def assign_blocks(entries: DataFrame, row_cuts: DataFrame, col_cuts: DataFrame)
     return out.where("row_blk is not null and col_blk is not null")
 
 
+def slices_at(x: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    block, start = part_at(F.col("col"), bounds)
+    return x.select(block.alias("col_blk"), (F.col("col") - start).alias("local_col"), "x").where("col_blk is not null")
+
+
 def slices(x: DataFrame, col_cuts: DataFrame) -> DataFrame:
     """(col_blk, local_col, x): the dense vector by blocks of columns, indices within the block."""
-    block, start = part_at(F.col("col"), bounds_of(col_cuts))
-    return x.select(block.alias("col_blk"), (F.col("col") - start).alias("local_col"), "x").where("col_blk is not null")
+    return slices_at(x, bounds_of(col_cuts))
 
 
 def all_blocks(spark: SparkSession, grid: tuple[int, int]) -> DataFrame:
@@ -137,24 +214,23 @@ def all_blocks(spark: SparkSession, grid: tuple[int, int]) -> DataFrame:
 
 def block_nnz(matrix: Matrix, grid: tuple[int, int], balance: str = "uniform") -> DataFrame:
     """(row_blk, col_blk, rank, nnz) of all blocks, empty ones too."""
-    placed = assign_blocks(matrix.df, cuts(matrix, "row", grid[0], balance), cuts(matrix, "col", grid[1], balance))
+    placed = assign_blocks(matrix.df, *both_cuts(matrix, grid, balance))
     counts = placed.groupBy("row_blk", "col_blk").agg(F.count("*").alias("nnz"))
     return all_blocks(matrix.spark, grid).join(counts, ["row_blk", "col_blk"], "left").select("row_blk", "col_blk", "rank", F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
-def part_weights(matrix: Matrix, axis: str, parts: int, balance: str) -> DataFrame:
-    """(part, weight): the weight of each part of one axis."""
-    weights = profile.weights(matrix, axis, balance).select(F.col("i").alias(axis), "w")
-    part, _ = part_at(F.col(axis), bounds_of(cuts(matrix, axis, parts, balance)))
-    sums = weights.groupBy(part.alias("part")).agg(F.sum("w").alias("weight"))
-    return matrix.spark.range(parts).select(F.col("id").alias("part")).join(sums, "part", "left").select("part", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-
-
 def block_weight(matrix: Matrix, grid: tuple[int, int], balance: str) -> DataFrame:
     """(row_blk, col_blk, rank, weight): weight of the block's rows plus that of its columns."""
-    rows = part_weights(matrix, "row", grid[0], balance).select(F.col("part").alias("row_blk"), F.col("weight").alias("rw"))
-    cols = part_weights(matrix, "col", grid[1], balance).select(F.col("part").alias("col_blk"), F.col("weight").alias("cw"))
-    return all_blocks(matrix.spark, grid).join(rows, "row_blk").join(cols, "col_blk").select("row_blk", "col_blk", "rank", (F.col("rw") + F.col("cw")).alias("weight"))
+    found = both_cuts(matrix, grid, balance)
+    tables = [as_table(matrix.spark, t) for t in found]
+    if balance == "uniform":
+        tables = [t.select("part", F.col("count").cast("double").alias("weight")) for t in tables]
+    else:
+        part = F.when(F.col("axis") == "row", part_at(F.col("i"), bounds_of(found[0]))[0]).otherwise(part_at(F.col("i"), bounds_of(found[1]))[0])
+        sums = profile.sparse_weights(matrix, balance).groupBy("axis", part.alias("part")).agg(F.sum("w").alias("weight"))
+        tables = [t.select("part").join(sums.where(F.col("axis") == axis).drop("axis"), "part", "left").select("part", F.coalesce("weight", F.lit(0.0)).alias("weight")) for axis, t in zip(AXES, tables)]
+    rows, cols = (t.select(F.col("part").alias(f"{axis}_blk"), F.col("weight").alias(f"{axis}_w")) for axis, t in zip(AXES, tables))
+    return all_blocks(matrix.spark, grid).join(rows, "row_blk").join(cols, "col_blk").select("row_blk", "col_blk", "rank", (F.col("row_w") + F.col("col_w")).alias("weight"))
 
 
 def balance_summary(df: DataFrame, value: str) -> DataFrame:

@@ -30,3 +30,13 @@ def weights(matrix: Matrix, axis: str = "row", balance: str = "uniform") -> Data
     p = axis_profile(matrix, axis)
     span = F.when(F.col("nnz") > 0, F.col("hi") - F.col("lo") + 1).otherwise(0)
     return p.select(F.col(axis).alias("i"), (F.col("nnz") if balance == "nnz" else span).cast("double").alias("w"))
+
+
+def sparse_weights(matrix: Matrix, balance: str, axes: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """(axis, i, w) of all indices that have entries, on one axis or both: one scan, combined before its one shuffle."""
+    if balance not in BALANCES[1:]:
+        raise ValueError(f"balance must be one of {BALANCES[1:]}")
+    seen = [F.struct(F.lit(a).alias("axis"), F.col(a).alias("i"), F.col("col" if a == "row" else "row").alias("across")) for a in axes]
+    both = matrix.df.select(F.explode(F.array(*seen)).alias("e")).select("e.*")
+    w = F.count("*") if balance == "nnz" else F.max("across") - F.min("across") + 1
+    return both.groupBy("axis", "i").agg(w.cast("double").alias("w"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Matrix, densify
-from . import csr, partition
+from . import blocks, partition
 
 #: Entries of x up to which it may be broadcast (16 bytes each), if its size is given.
 BROADCAST_ENTRIES = 500_000
@@ -33,9 +33,10 @@ def spmv(
     """(row, y) with y = sum of val * x[col]; ``x`` is (col, x) or None for ones.
 
     coo: hash aggregation, combined before the shuffle.  chunked, strided: partial sums of
-    contiguous or round-robin partitions, then merged.  csr: rows as arrays, those of wide matrices in
-    pieces.  salted: ``lanes`` partial sums per row, for hub rows.  rows1d: cyclic row parts.  grid2d: blocks
-    of a process grid with cuts by ``balance``, partial sums merged along grid rows.
+    contiguous or round-robin partitions, then merged.  csr: compressed rows in pieces, multiplied by slices of x
+    as arrays.  salted: ``lanes`` partial sums per row, for hub rows.  rows1d: cyclic row parts.  grid2d: blocks
+    of a process grid with cuts by ``balance``, compressed and multiplied by their slices of x, partial sums merged
+    along grid rows.  For many products of one matrix see ``blocks.store`` and ``dealt.deal``.
     ``dense``: a row for every index.  Rows or columns outside the shape are not checked
     here; see ``Matrix.within``.
     """
@@ -43,16 +44,11 @@ def spmv(
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if lanes < 1 or parts < 1 or min(grid) < 1:
         raise ValueError("lanes, parts and grid sides start at 1")
-    n_col = matrix.shape.n_col
-    if strategy == "csr":
-        wide = n_col > csr.BUCKET
-        rows = csr.to_arrays(Matrix(product(matrix, x, n_col).select("row", "col", F.col("p").alias("val")), matrix.shape), csr.BUCKET if wide else None)
-        zero = F.lit(0).cast("double" if exact is None else f"decimal(38,{exact})")
-        step = (lambda a, v: a + v) if exact is None else (lambda a, v: (a + v.cast(f"decimal(28,{exact})")).cast(f"decimal(38,{exact})"))
-        sums = rows.select("row", F.aggregate("vals", zero, step).alias("y"))
-        y = (sums.groupBy("row").agg(F.sum("y").alias("y")) if wide else sums).select("row", F.col("y").cast("double").alias("y"))
+    if strategy == "csr" or (strategy == "grid2d" and x is not None):
+        layout = blocks.compress(matrix, *(((1, 1), "uniform") if strategy == "csr" else (grid, balance)))
+        y = blocks.multiply(layout, x, exact)
     else:
-        entries = product(matrix, x, n_col)
+        entries = product(matrix, x, matrix.shape.n_col)
         if strategy == "coo":
             keys: list[Column] = []
         elif strategy == "chunked":
@@ -65,8 +61,7 @@ def spmv(
             entries = partition.cyclic(entries, parts).withColumn("row", partition.global_row(parts))
             keys = [F.col("part")]
         else:
-            cuts = [partition.cuts(matrix, axis, n, balance) for axis, n in zip(("row", "col"), grid)]
-            entries, keys = partition.assign_blocks(entries, *cuts), [F.col("col_blk")]
+            entries, keys = partition.assign_blocks(entries, *partition.both_cuts(matrix, grid, balance)), [F.col("col_blk")]
         if keys:
             entries = entries.groupBy("row", *keys).agg(_sum(F.col("p"), exact).alias("p"))
             y = entries.groupBy("row").agg(F.sum("p").cast("double").alias("y"))

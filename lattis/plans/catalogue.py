@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..model import Matrix, ones
-from ..operators import csr, partition, profile, spmv
+from ..operators import blocks, csr, dealt, partition, profile, spmv
 from ..sources import matrix_market, scratch, views
 
 PARTS, GRID, LANES, DIGITS = 4, (2, 2), 32, 4
@@ -55,10 +55,12 @@ def spmv_coo_ones(spark, sf_dir):
     return spmv.spmv(m, ones(spark, m.shape.n_col))
 
 
-@query("SELECT l_orderkey AS row, CAST(SUM(CAST(CAST(l_quantity AS DOUBLE) * CAST(p_retailprice AS DOUBLE) AS DECIMAL(28,4))) AS DOUBLE) AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+Y_VECTOR = "SELECT l_orderkey AS row, CAST(SUM(CAST(CAST(l_quantity AS DOUBLE) * CAST(p_retailprice AS DOUBLE) AS DECIMAL(28,4))) AS DOUBLE) AS y FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"
+
+
+@query(Y_VECTOR)
 def spmv_coo_vector(spark, sf_dir):
-    x = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("col"), F.col("p_retailprice").cast("double").alias("x"))
-    return spmv.spmv(_ml(spark, sf_dir), x, exact=DIGITS)
+    return spmv.spmv(_ml(spark, sf_dir), _prices(spark, sf_dir), exact=DIGITS)
 
 
 @query(f"SELECT r.row, COALESCE(y, 0.0) AS y FROM {ROWS} r LEFT JOIN ({Y_ONES}) s ON r.row = s.row")
@@ -83,6 +85,32 @@ for _name, _plan in (("spmv_csr", "csr"), ("spmv_salted", "salted"), ("spmv_coo_
     _strategy(_name, _plan)
 
 
+def _prices(spark, sf_dir):
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("col"), F.col("p_retailprice").cast("double").alias("x"))
+
+
+@query(Y_VECTOR)
+def spmv_blocks_vector(spark, sf_dir):
+    """A block layout, stored, times the vector of prices."""
+    return blocks.multiply(blocks.store(_ml(spark, sf_dir), GRID, "nnz"), _prices(spark, sf_dir), exact=DIGITS)
+
+
+@query(Y_VECTOR)
+def spmv_csr_vector(spark, sf_dir):
+    return spmv.spmv(_ml(spark, sf_dir), _prices(spark, sf_dir), "csr", exact=DIGITS)
+
+
+@query(Y_VECTOR)
+def spmv_grid2d_vector(spark, sf_dir):
+    return spmv.spmv(_ml(spark, sf_dir), _prices(spark, sf_dir), "grid2d", grid=GRID, balance="comm", exact=DIGITS)
+
+
+@query(Y_VECTOR)
+def spmv_dealt_vector(spark, sf_dir):
+    """Entries dealt to cyclic parts, stored, times the vector of prices."""
+    return dealt.multiply(dealt.deal(_ml(spark, sf_dir), PARTS), _prices(spark, sf_dir), exact=DIGITS)
+
+
 @query("SELECT l_suppkey AS row, CAST(SUM(CAST(CAST(l_extendedprice AS DOUBLE) AS DECIMAL(28,4))) AS DOUBLE) AS y FROM lineitem GROUP BY 1")
 def spmv_hub_rows(spark, sf_dir):
     return spmv.spmv(views.suppliers_parts(spark, sf_dir), strategy="salted", exact=DIGITS)
@@ -121,8 +149,26 @@ def csr_positions(spark, sf_dir):
 
 @query(f"SELECT row, string_agg(CAST(col AS VARCHAR), ',' ORDER BY col, val) AS cols, string_agg(CAST(CAST(val AS BIGINT) AS VARCHAR), ',' ORDER BY col, val) AS vals FROM {ML} GROUP BY row")
 def csr_arrays(spark, sf_dir):
-    rows = csr.to_arrays(_ml(spark, sf_dir))
-    return rows.select("row", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.array_join(F.col("vals").cast("array<bigint>").cast("array<string>"), ",").alias("vals"))
+    pieces = csr.to_arrays(_ml(spark, sf_dir)).select("row", "piece", *_joined())
+    # one text a row is the query's result: its pieces come together in order
+    rows = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "cols", "vals"))).alias("e"))
+    return rows.select("row", *(F.array_join(f"e.{c}", ",").alias(c) for c in ("cols", "vals")))
+
+
+def _joined():
+    return F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.array_join(F.col("vals").cast("array<bigint>").cast("array<string>"), ",").alias("vals")
+
+
+PIECE = 3
+
+
+@query(
+    f"SELECT row, piece, string_agg(CAST(col AS VARCHAR), ',' ORDER BY pos) AS cols, string_agg(CAST(CAST(val AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS vals "
+    f"FROM (SELECT *, pos // {PIECE} AS piece FROM (SELECT row, col, val, ROW_NUMBER() OVER (PARTITION BY row ORDER BY col, val) - 1 AS pos FROM {ML})) GROUP BY 1, 2"
+)
+def csr_pieces(spark, sf_dir):
+    """Compressed rows in pieces of three entries."""
+    return csr.to_arrays(_ml(spark, sf_dir), PIECE).select("row", "piece", *_joined())
 
 
 @query(f"SELECT row, col, val FROM {ML}")
@@ -183,8 +229,18 @@ def mm_file_round_trip(spark, sf_dir):
 
 @query("SELECT l_orderkey AS row, l_partkey AS col, CAST(CAST(l_extendedprice / 7.0 AS FLOAT) AS DOUBLE) AS val FROM lineitem")
 def matrix_single_precision(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), (F.col("l_extendedprice") / 7.0).cast("float").cast("double").alias("val"))
+    """Fractional values as the library narrows them when it takes a table as a matrix."""
+    rows = views.table(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice") / 7.0)
+    return Matrix.of(rows, _ml(spark, sf_dir).shape, "l_orderkey", "l_partkey", "v", single=True).df
+
+
+@query("SELECT l_orderkey AS row, l_partkey AS col, CAST(CAST(CAST(printf('%.12g', l_extendedprice / 7.0) AS DOUBLE) AS FLOAT) AS DOUBLE) AS val FROM lineitem")
+def mm_read_single(spark, sf_dir):
+    """The same values written as text of twelve digits and read back as 32-bit floats."""
+    path = scratch.folder(spark, "single")
+    rows = views.table(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice") / 7.0)
+    matrix_market.write_sorted(Matrix.of(rows, _ml(spark, sf_dir).shape, "l_orderkey", "l_partkey", "v"), path)
+    return matrix_market.read(spark, path, mode="failfast", single=True).df
 
 
 # --- profiles -------------------------------------------------------------------------------
@@ -277,7 +333,7 @@ BLOCK_NNZ = f"SELECT b.row_blk, b.col_blk, b.rank, COALESCE(k, 0) AS nnz FROM {B
 @query(_placed("uniform"))
 def block_assign(spark, sf_dir):
     m = _ml(spark, sf_dir)
-    return partition.assign_blocks(m.df, partition.cuts(m, "row", GRID[0]), partition.cuts(m, "col", GRID[1]))
+    return partition.assign_blocks(m.df, *partition.both_cuts(m, GRID))
 
 
 @query(BLOCK_NNZ)
@@ -381,9 +437,9 @@ def _totals(df: DataFrame) -> DataFrame:
 )
 def footprint_2d(spark, sf_dir):
     m = _ml(spark, sf_dir)
-    blocks = partition.block_nnz(m, GRID, "nnz")
-    for axis, n in zip(("row", "col"), GRID):
-        blocks = blocks.join(partition.cuts(m, axis, n, "nnz").select(F.col("part").alias(f"{axis}_blk"), F.col("count").alias(f"{axis}s")), f"{axis}_blk")
+    placed = partition.block_nnz(m, GRID, "nnz")
+    for axis, cuts in zip(("row", "col"), partition.both_cuts(m, GRID, "nnz")):
+        placed = placed.join(partition.as_table(spark, cuts).select(F.col("part").alias(f"{axis}_blk"), F.col("count").alias(f"{axis}s")), f"{axis}_blk")
     lit = lambda v: F.lit(v).cast("bigint")
     host, device = metrics.footprint_2d(lit(m.shape.n_row), lit(GRID[0]), lit(GRID[1]), F.col("rows"), F.col("cols"), F.col("nnz"))
-    return _totals(blocks.select("rank", host.alias("host_memory_bytes"), device.alias("gpu_memory_bytes")))
+    return _totals(placed.select("rank", host.alias("host_memory_bytes"), device.alias("gpu_memory_bytes")))

@@ -6,14 +6,13 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..model import Matrix
-from ..operators import partition, spmv
-from ..sources import sinks
+from ..model import Matrix, densify
+from ..operators import blocks, dealt, partition, spmv
+from ..sources import scratch, sinks
 from . import timing
 
 log = logging.getLogger("lattis")
@@ -28,7 +27,7 @@ class Report:
     strategy: str
     parts: int
     balance: str
-    #: Seconds to read and deal, seconds to multiply, GB/s and GFLOPS of each timed run.
+    #: Seconds to read, split and deal, seconds to multiply, GB/s and GFLOPS of each timed run.
     runs: list[tuple[int, float, float, float, float]] = field(default_factory=list)
     head: list[tuple[int, float]] = field(default_factory=list)
 
@@ -36,13 +35,13 @@ class Report:
         return f"matrix {self.name}, strategy {self.strategy}, {self.parts} parts, balance {self.balance}"
 
     def lines(self) -> list[str]:
-        return [f"run {i}: {comm:.6f} s read, {run:.6f} s product, {gbs:.3f} GB/s, {flops:.3f} GFLOPS" for i, comm, run, gbs, flops in self.runs]
+        return [f"run {i}: {comm:.6f} s communication, {run:.6f} s execution, {gbs:.3f} GB/s, {flops:.3f} GFLOPS" for i, comm, run, gbs, flops in self.runs]
 
     def summary(self) -> str:
         n = max(1, len(self.runs))
         comm, run, gbs, flops = (sum(r[i] for r in self.runs) / n for i in range(1, 5))
         values = ", ".join(f"y[{i}] = {y:g}" for i, y in self.head) or "no non-zeros among the first positions"
-        return f"mean: {comm:.6f} s read, {run:.6f} s product, {gbs:.3f} GB/s, {flops:.3f} GFLOPS; {values}"
+        return f"mean: {comm:.6f} s communication, {run:.6f} s execution, {gbs:.3f} GB/s, {flops:.3f} GFLOPS; {values}"
 
 
 def task_count(spark: SparkSession, nnz: int) -> int:
@@ -74,11 +73,11 @@ def footprints(matrix: Matrix, parts: int, threads: int = 0, shared: int = 0) ->
 
 def footprints_2d(matrix: Matrix, grid: tuple[int, int], balance: str, threads: int = 0, shared: int = 0) -> DataFrame:
     """Bytes per block of the two-dimensional split, as the result file has them."""
-    sizes = [partition.cuts(matrix, axis, n, balance).select(F.col("part").alias(f"{axis}_blk"), F.col("count").alias(f"n_{axis}")) for axis, n in zip(("row", "col"), grid)]
-    blocks = partition.block_nnz(matrix, grid, balance).join(sizes[0], "row_blk").join(sizes[1], "col_blk")
+    sizes = [partition.as_table(matrix.spark, t).select(F.col("part").alias(f"{axis}_blk"), F.col("count").alias(f"n_{axis}")) for axis, t in zip(("row", "col"), partition.both_cuts(matrix, grid, balance))]
+    placed = partition.block_nnz(matrix, grid, balance).join(sizes[0], "row_blk").join(sizes[1], "col_blk")
     n, r, c = (F.lit(v).cast("bigint") for v in (matrix.shape.n_row, *grid))
     host, device = metrics.footprint_2d(n, r, c, F.col("n_row"), F.col("n_col"), F.col("nnz"))
-    rows = blocks.select("rank", F.lit(threads).alias("threads"), F.lit(shared).alias("sharedmem"), "n_row", "n_col", "nnz", host.alias("host_memory_bytes"), device.alias("gpu_memory_bytes"))
+    rows = placed.select("rank", F.lit(threads).alias("threads"), F.lit(shared).alias("sharedmem"), "n_row", "n_col", "nnz", host.alias("host_memory_bytes"), device.alias("gpu_memory_bytes"))
     return sinks.footprint(rows, balance)
 
 
@@ -92,39 +91,61 @@ def run_all(matrices: dict[str, Callable[[], Matrix]], strategies: Sequence[str]
     ]
 
 
+def _dealt(matrix: Matrix, strategy: str, parts: int, grid: tuple[int, int], balance: str) -> tuple[Callable[[], DataFrame], Callable[[], None]]:
+    """The entries laid out as a strategy wants them, written: the product on them, and what deletes them."""
+    if strategy == "rows1d":
+        rows = dealt.deal(matrix, parts)
+        return lambda: dealt.multiply(rows), rows.drop
+    if strategy in ("csr", "grid2d"):
+        layout = blocks.store(matrix, *(((1, 1), "uniform") if strategy == "csr" else (grid, balance)))
+        return lambda: blocks.multiply(layout), layout.drop
+    spark, path = matrix.spark, scratch.folder(matrix.spark, "entries")
+    matrix.df.write.parquet(path)
+    there = replace(matrix, df=spark.read.schema(matrix.df.schema).parquet(path))
+    return lambda: spmv.spmv(there, strategy=strategy, parts=parts), lambda: scratch.delete(spark, path)
+
+
 def run(
     name: str, load: Callable[[], Matrix], strategy: str = "coo", parts: int = 4, grid: tuple[int, int] = (2, 2), balance: str = "uniform",
-    total: int = 5, warmup: int = 1, save: str | None = None,
+    total: int = 5, warmup: int = 1, save: str | None = None, threads: int = 0, shared: int = 0,
 ) -> Report:
-    """Benchmark ``load`` and the product with ones; every run reads anew, warm-up runs do not count."""
+    """Benchmark ``load`` and the product with ones.
+
+    Communication is all that happens before a product: reading, splitting and dealing out, done anew in
+    every run.  Execution is the product on what the run has dealt.  Warm-up runs do not count.
+    """
     report = Report(name, strategy, parts, balance)
     log.info(report.banner())
-    seen: dict[str, Matrix] = {}
+    now: dict[str, object] = {}
 
-    def read() -> None:
-        seen["m"] = load()
-        seen["m"].df.write.format("noop").mode("overwrite").save()
+    def deal() -> None:
+        now.get("drop", lambda: None)()
+        now["matrix"] = load()
+        now["product"], now["drop"] = _dealt(now["matrix"], strategy, parts, grid, balance)
 
     def product() -> DataFrame:
-        return spmv.spmv(seen["m"], strategy=strategy, parts=parts, grid=grid, balance=balance, dense=True)
-
-    reading = timing.repeat(read, total, warmup)
-    # the product is timed on entries that are there, not read again
-    matrix = seen["m"] = replace(seen["m"], df=seen["m"].df.persist(StorageLevel.MEMORY_AND_DISK))
-    matrix.df.count()
-    executing = timing.repeat(lambda: product().write.format("noop").mode("overwrite").save(), total, warmup)
+        return densify(now["matrix"].spark, now["product"](), now["matrix"].shape.n_row, "row", {"y": 0.0})
+
+    dealing, executing = [], []
+    for i in range(total):
+        first = timing.repeat(deal, 1, 0).seconds[0]
+        second = timing.repeat(lambda: product().write.format("noop").mode("overwrite").save(), 1, 0).seconds[0]
+        if i >= warmup:
+            dealing.append(first)
+            executing.append(second)
+    matrix = now["matrix"]
     nnz, shape, spark = matrix.nnz(), matrix.shape, matrix.spark
     rows, cols, z, t = (F.col(c) for c in ("n_row", "n_col", "nnz", "t"))
     rate = metrics.bandwidth_csr(rows, z, t) if strategy == "csr" else metrics.bandwidth_coo(rows, cols, z, t)
-    timed = spark.createDataFrame([(i, c, e, shape.n_row, shape.n_col, nnz, e) for i, (c, e) in enumerate(zip(reading.seconds, executing.seconds))], "run int, comm double, exec double, n_row long, n_col long, nnz long, t double")
+    timed = spark.createDataFrame([(i, c, e, shape.n_row, shape.n_col, nnz, e) for i, (c, e) in enumerate(zip(dealing, executing))], "run int, comm double, exec double, n_row long, n_col long, nnz long, t double")
     report.runs = [tuple(r) for r in timed.select("run", "comm", "exec", rate, metrics.gflops(z, t)).orderBy("run").collect()]  # a row per run
     report.head = [(r.row, r.y) for r in spmv.head(product()).collect()]
+    now["drop"]()
     for line in report.lines():
         log.info(line)
     log.info(report.summary())
     if save:
-        folder = sinks.folder(save, name, parts, strategy, balance)
+        folder = sinks.folder(save, name, parts, strategy, balance, threads, shared)
         sinks.write_csv(sinks.statistics(spark, report.runs), f"{folder}/statistics")
-        sinks.write_csv(footprints_2d(matrix, grid, balance) if strategy == "grid2d" else footprints(matrix, parts), f"{folder}/memory_footprint")
-    matrix.df.unpersist()
+        sinks.write_csv(footprints_2d(matrix, grid, balance, threads, shared) if strategy == "grid2d" else footprints(matrix, parts, threads, shared), f"{folder}/memory_footprint")
     return report

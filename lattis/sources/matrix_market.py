@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..model import Matrix, Shape
 
 BLANKS = "[ \t\r]+"
 SORTED_BANNER = "%%Sorted matrix file"
+#: Different header lines up to which they are broadcast (about 100 bytes each).
+BROADCAST_TEXTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -27,8 +30,10 @@ class Header:
     nnz: int
     symmetry: str
     field: str
-    #: Header lines as they stand in the files, and how many files start with each.
-    texts: tuple[tuple[str, int], ...]
+    #: How many files there are, how many different header lines, and the sum of the entries that they state.
+    files: int
+    different: int
+    stated: int
 
 
 def _trimmed(value: Column) -> Column:
@@ -63,40 +68,68 @@ def checked(triplets: DataFrame, shape: Shape, mode: str = "dropmalformed") -> D
     return triplets.select("row", "col", F.when(F.coalesce(good, F.lit(False)), F.col("val")).otherwise(fail.cast("double")).alias("val"))
 
 
-def read_header(spark: SparkSession, path: str) -> Header:
-    """The banner and the shape of a file, or of all files of a folder."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Content lines with the file that they stand in."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, banner) of every file: its first content line and its banner, null where it has none."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     first = lambda which: F.min_by("value", F.when(which, F.col("place")))
-    files = lines.groupBy("file").agg(first(is_content(F.col("value"))).alias("header"), first(F.col("value").startswith("%%MatrixMarket")).alias("banner"))
-    found = files.where("header is not null").groupBy("header", "banner").agg(F.count("*").alias("files")).orderBy("header", "banner").limit(1000).collect()  # usually one row
-    if not found:
+    return lines.groupBy("file").agg(first(is_content(F.col("value"))).alias("header"), first(F.col("value").startswith("%%MatrixMarket")).alias("banner"))
+
+
+def read_header(spark: SparkSession, path: str) -> Header:
+    """The banner and the shape of a file, or of all files of a folder; one row of sums over all files comes to the driver."""
+    files = file_headers(spark, path).where("header is not null")
+    tokens = F.split(_trimmed(F.col("header")), BLANKS)
+    number = lambda i: F.get(tokens, F.lit(i)).try_cast("bigint")
+    words = F.split(F.lower(F.btrim("banner")), r"\s+")
+    word = lambda i, default: F.when(F.size(words) >= 5, F.get(words, F.lit(i))).otherwise(F.lit(default))
+    told = files.select(
+        "header", number(0).alias("n_row"), number(1).alias("n_col"), number(2).alias("nnz"),
+        F.coalesce(word(4, "general"), F.lit("general")).alias("symmetry"), F.coalesce(word(3, "real"), F.lit("real")).alias("field"),
+    )
+    bad = F.col("n_row").isNull() | F.col("n_col").isNull() | F.col("nnz").isNull()
+    kind = F.struct("n_row", "n_col", "symmetry", "field")
+    r = told.agg(
+        F.count("*").alias("files"), F.min(F.when(bad, F.col("header"))).alias("bad"), F.min(kind).alias("least"), F.max(kind).alias("most"),
+        F.max("nnz").alias("nnz"), F.sum("nnz").alias("stated"), F.count_distinct("header").alias("different"),
+    ).first()
+    if not r.files:
         raise ValueError(f"no header in {path}")
-    shapes = set()
-    for r in found:
-        tokens = r.header.replace("\t", " ").replace("\r", " ").split()
-        if len(tokens) < 3 or not all(t.lstrip("-").isdigit() for t in tokens[:3]):
-            raise ValueError(f"bad header in {path}: {r.header!r}")
-        words = r.banner.lower().split() if r.banner else []
-        shapes.add((*map(int, tokens[:2]), *((words[4], words[3]) if len(words) >= 5 else ("general", "real"))))
-    if len(shapes) > 1:
-        raise ValueError(f"files of {path} differ in shape or kind: {sorted(shapes)[:5]}")
-    n_row, n_col, symmetry, field = shapes.pop()
-    texts: dict[str, int] = {}
-    for r in found:
-        texts[r.header] = texts.get(r.header, 0) + r.files
-    return Header(n_row, n_col, max(int(t.split()[2]) for t in texts), symmetry, field, tuple(texts.items()))
+    if r.bad is not None:
+        raise ValueError(f"bad header in {path}: {r.bad!r}")
+    if r.least != r.most:
+        raise ValueError(f"files of {path} differ in shape or kind: {tuple(r.least)}, {tuple(r.most)}")
+    return Header(r.least.n_row, r.least.n_col, r.nnz, r.least.symmetry, r.least.field, r.files, r.different, r.stated)
 
 
 def _data(spark: SparkSession, path: str, header: Header) -> DataFrame:
-    """Content lines without one occurrence of its header for each file: lines are a bag, so it does not matter which."""
-    lines = spark.read.text(path)
-    texts = [t for t, _ in header.texts]
-    data = lines.where(is_content(F.col("value")) & ~F.col("value").isin(texts))
-    seen = {r.value: r.n for r in lines.where(F.col("value").isin(texts)).groupBy("value").agg(F.count("*").alias("n")).collect()}  # a row for each header text
-    for text, files in header.texts:
-        if seen[text] > files:
-            data = data.unionByName(spark.range(seen[text] - files).select(F.lit(text).alias("value")))
-    return data
+    """Content lines without one occurrence of its header for each file: lines are a bag, so it does not matter which.
+
+    Lines that look like a header are set apart by a join; those beyond one a file come back.
+    """
+    lines = _lines(spark, path).where(is_content(F.col("value"))).select("value")
+    texts = file_headers(spark, path).where("header is not null").groupBy(F.col("header").alias("value")).agg(F.count("*").alias("files"))
+    side = F.broadcast(texts) if header.different <= BROADCAST_TEXTS else texts
+    alike = lines.join(side, "value").groupBy("value").agg((F.count("*") - F.max("files")).alias("more")).where("more > 0")
+    # as many again, in steps, so that no array is long
+    step = 1 << 12
+    outer = alike.select("value", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("more") - 1) / step))).alias("k"))
+    again = outer.select("value", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(step), F.col("more") - F.col("k") * step))))
+    return lines.join(side, "value", "left_anti").unionByName(again.select("value"))
+
+
+def counted(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Entries that the headers state and entries that are there.
+
+    Files with one header in common are parts of a matrix whose entries it states; others state their own.
+    """
+    header = read_header(spark, path)
+    stated = header.stated if header.different > 1 else header.nnz
+    return stated, read(spark, path, pattern="ones").nnz()
 
 
 def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric: str = "ignore", pattern: str = "error", single: bool = False) -> Matrix:
@@ -114,13 +147,25 @@ def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric:
     return Matrix(entries, shape)
 
 
+def value_text(val: Column, digits: int = 12) -> Column:
+    """A double in ``digits`` significant digits as C's ``%g`` writes it: rounded from its exact binary value.
+
+    Whole numbers are written by Spark; for others Spark would round the shortest decimal that stands for
+    the double, which is wrong near ties, so that they go to Python in Arrow batches.
+    """
+    whole = (val == F.floor(val)) & (F.abs(val) < 10.0 ** min(digits, 15)) & (val != 0)
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series, rest: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.{digits}g}" if r else None for v, r in zip(values.tolist(), rest.tolist())], dtype=object)
+
+    rest = ~F.coalesce(whole, F.lit(True))
+    return F.when(whole, val.cast("bigint").cast("string")).otherwise(text(F.coalesce(val, F.lit(0.0)), rest))
+
+
 def format_lines(entries: DataFrame, digits: int = 12) -> DataFrame:
     """Entries with ``line``, 1-based; values have ``digits`` digits at most, without zeros at the end, and an exponent where they are very large or small."""
-    whole = (F.col("val") == F.floor("val")) & (F.abs("val") < 10.0 ** min(digits, 15))
-    long = F.format_string(f"%.{digits}g", F.col("val"))
-    short = F.when(long.contains("."), F.regexp_replace(F.regexp_replace(long, r"(\.[0-9]*?)0+(e.*)?$", "$1$2"), r"\.(e.*)?$", "$1")).otherwise(long)
-    text = F.when(whole, F.col("val").cast("bigint").cast("string")).otherwise(short)
-    return entries.withColumn("line", F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), text))
+    return entries.withColumn("line", F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), value_text(F.col("val"), digits)))
 
 
 def write_sorted(matrix: Matrix, path: str, digits: int = 12, single_file: bool = False) -> None:

@@ -10,9 +10,9 @@ STATISTICS = ["ID", "Communication(s)", "Execution(s)", "Bandwidth(GB/s)", "FLOP
 FOOTPRINT = ["rank", "threads", "sharedmem", "n_row", "n_col", "nnz", "host_memory_bytes", "gpu_memory_bytes", "total_memory_bytes", "total_memory_megabytes"]
 
 
-def folder(save: str, matrix: str, parts: int, mode: str, balance: str = "none") -> str:
-    """Results of one configuration; the balance is part of the path, so that runs never mix."""
-    return f"{save.rstrip('/')}/matrix={matrix}/parts={parts}/mode={mode}/lb={balance}"
+def folder(save: str, matrix: str, parts: int, mode: str, balance: str = "none", threads: int = 0, shared: int = 0) -> str:
+    """Results of one configuration; all of it is part of the path, so that runs never mix."""
+    return f"{save.rstrip('/')}/matrix={matrix}/parts={parts}/mode={mode}/threads={threads}/shared={shared}/lb={balance}"
 
 
 def statistics(spark: SparkSession, runs: list[tuple[int, float, float, float, float]]) -> DataFrame:

@@ -104,3 +104,46 @@ def test_sort_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     first, second = mm.sort_files(spark, [str(tmp_path / "a.mtx"), str(tmp_path / "b.mtx")], str(tmp_path / "sorted"))
     assert first.endswith("sorted_a.mtx") and y_of(mm.read(spark, first)) == [1, 1.5] and y_of(mm.read(spark, second)) == [4]
+
+
+def test_many_files_with_headers_of_their_own(spark, tmp_path):
+    """1,100 files, each with its own number of entries in its header; one of another shape raises."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(1100):
+        (folder / f"f{i:04}.mtx").write_text(f"{BANNER}5000 5000 {i + 1}\n{i + 1} 2 {i}\n")
+    # one file holds its header's text as entries too
+    (folder / "f0007.mtx").write_text(f"{BANNER}5000 5000 8\n5000 5000 8\n5000 5000 8\n8 2 7\n")
+    again = mm.read(spark, str(folder), mode="failfast")
+    got = sorted(map(tuple, again.df.collect()))
+    assert got == sorted([(i, 1, float(i)) for i in range(1100)] + [(4999, 4999, 8.0)] * 2)
+    assert mm.counted(spark, str(folder)) == (1100 * 1101 // 2, 1102)
+    (folder / "g.mtx").write_text(f"{BANNER}5000 5001 1\n1 1 1\n")
+    with pytest.raises(ValueError, match="differ"):
+        mm.read(spark, str(folder))
+    (folder / "g.mtx").write_text("5000 x 1\n1 1 1\n")
+    with pytest.raises(ValueError, match="bad header"):
+        mm.read(spark, str(folder))
+
+
+def test_text_is_c_text(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    values = [float(f"{rng.randint(-(10**6), 10**6)}.{rng.randint(0, 10 ** rng.randint(1, 13))}") for _ in range(20_000)]
+    values += [258.4208332655, 99999999999.95, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 5e-324, 2.2e-308, 1e300, -1e22, 1e-5, 123456789012345.0, 0.5, 1e15, 999999999999.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    rows = df.select("v", mm.value_text(F.col("v")).alias("t"), mm.value_text(F.col("v"), 3).alias("s")).collect()
+    assert len(rows) == len(values)
+    assert [(r.v, r.t, r.s) for r in rows if r.t != "%.12g" % r.v or r.s != "%.3g" % r.v] == []
+
+
+def test_single_precision(spark, tmp_path):
+    path = write(tmp_path, BANNER + "1 2 2\n1 1 0.1\n1 2 0.5\n")
+    import numpy as np
+
+    assert sorted(r.val for r in mm.read(spark, path, single=True).df.collect()) == [float(np.float32(0.1)), 0.5]
+    df = spark.createDataFrame([(0, 0, 0.1)], "row bigint, col bigint, val double")
+    assert Matrix.of(df, Shape(1, 1), single=True).df.first().val == float(np.float32(0.1))

@@ -1,12 +1,13 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattis.functions import metrics
 from lattis.model import Matrix, Shape, ones
-from lattis.operators import csr, partition, profile, spmv
+from lattis.operators import blocks, csr, partition, profile, spmv
 from lattis.plans import timing
 from lattis.sources import sinks
 
@@ -72,10 +73,14 @@ def test_wide_rows_come_in_pieces(spark, monkeypatch):
     a = matrix(spark, entries, 5, 40)
     one, two = (sorted(map(tuple, csr.positions(a, bucket).collect())) for bucket in (100, 6))
     assert one == two
-    pieces = csr.to_arrays(a, 6)
-    assert pieces.where("array_max(cols) - array_min(cols) >= 6").count() == 0 and pieces.groupBy("row", "piece").count().where("count > 1").count() == 0
-    assert sorted(map(tuple, csr.from_arrays(pieces, a.shape).df.collect())) == sorted(entries)
-    monkeypatch.setattr(csr, "BUCKET", 6)
+    for bucket in (100, 6):
+        pieces = csr.to_arrays(a, 7, bucket)
+        assert pieces.where("size(cols) > 7 or size(cols) <> size(vals)").count() == 0 and pieces.groupBy("row", "piece").count().where("count > 1").count() == 0
+        # all pieces of a row but its last are full, and its places go on from piece to piece
+        placed = sorted((r.row, 7 * r.piece + k, c, v) for r in pieces.collect() for k, (c, v) in enumerate(zip(r.cols, r.vals)))
+        assert placed == sorted((row, pos, col, val) for row, col, val, pos in one)
+        assert sorted(map(tuple, csr.from_arrays(pieces, a.shape).df.collect())) == sorted(entries)
+    monkeypatch.setattr(blocks, "WIDTH", 6)
     x = spark.createDataFrame([(i, i / 4) for i in range(40)], "col bigint, x double")
     expected = {r: sum(v * c / 4 for i, c, v in entries if i == r) for r in {e[0] for e in entries}}
     for strategy in ("csr", "grid2d"):
@@ -189,6 +194,21 @@ def test_harness(spark, tmp_path):
     folder = sinks.folder(str(tmp_path), "m", 3, "csr", "uniform")
     saved = spark.read.option("header", True).csv(folder + "/memory_footprint")
     assert saved.columns == sinks.FOOTPRINT and saved.count() == 3
+    # the second matrix is slow to read: that is communication, not execution
+    def slow():
+        time.sleep(1.5)
+        return matrix(spark, EDGE["repeated"][0], 2, 4)
+
+    reports = harness.run_all({"m": lambda: matrix(spark, entries, n, m), "slow": slow}, total=1, warmup=0, save=str(tmp_path / "all"), grid=(2, 1), balances=("uniform", "nnz"), parts=2, threads=128, shared=1024)
+    assert len(reports) == 2 * (len(spmv.STRATEGIES) + 1) and {r.balance for r in reports if r.strategy == "grid2d"} == {"uniform", "nnz"}
+    for r in reports:
+        ((_, comm, execution, _, _),) = r.runs
+        assert r.head == ([(3, 4.0)] if r.name == "m" else [(0, 4.0)])
+        assert execution > 0 and (r.name == "m" or comm > 1.5)
+        saved = spark.read.option("header", True).csv(sinks.folder(str(tmp_path / "all"), r.name, 2, r.strategy, r.balance, 128, 1024) + "/statistics")
+        assert saved.columns == sinks.STATISTICS and saved.count() == 1
+    assert "threads=128/shared=1024" in sinks.folder("a", "m", 2, "coo", threads=128, shared=1024)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lattis_")]
     assert harness.task_count(spark, 10**9) == 250 and "version" in harness.cluster(spark)
 
 
