@@ -8,7 +8,10 @@ Search.  Each vector visits cells in order of its distance to them by a multi-se
 traversal (both halves' distances sorted, the grid walked by a heap of the next best sums), as
 far as ``slack`` beyond its own cell.  The slack is the smallest at which a bounded sample
 of queries, compared with every vector, finds ``TARGET`` of its links (each query counts the
-same), two standard errors allowed for; with fewer than ``ENOUGH`` linked queries it is ``FALLBACK`` at least.  A pair is found if either vector visits the other's cell; where both do, it counts in
+same), two standard errors allowed for.  Where fewer than ``ENOUGH`` queries of the whole sample have links, recall can't be
+measured, and need not be: the grid gets coarse, and vectors visit every cell that can hold a link at all.  (A partner lies
+on its own centroid's side of the plane between that and ours, so that the distances of a vector to these planes
+bound its distance to anything in a cell.)  Then every link is found.  A pair is found if either vector visits the other's cell; where both do, it counts in
 one of the two cells, so link counts are whole for both ends.  What meets is then verified:
 cosine in double precision.
 
@@ -38,13 +41,13 @@ from .graph import components
 THRESHOLD, TARGET = 0.95, 0.97
 #: Rows that codebooks are fitted on, queries that calibrate the radius, classes in a chunk.
 SAMPLE, QUERIES, CHUNK = 20_000, 2048, 1024
-#: Vectors that a cell holds on average, and centroids of a codebook at most.
-PER_CELL, CENTROIDS = 16, 512
+#: Vectors that a cell holds on average, and sample rows that a centroid needs.
+PER_CELL, PER_CENTROID = 16, 4
+#: Cells up to which the table of their sizes is broadcast (24 bytes each).
+BROADCAST_CELLS = 500_000
 #: Steps of squared distance that calibration tells apart, up to the largest slack it finds.
 STEPS, FARTHEST = 800, 4.0
-#: Slack where no query of the sample has a link.
-FALLBACK = 0.1
-#: Queries with links that a slack under ``FALLBACK`` needs.
+#: Queries with links that a measured recall needs.
 ENOUGH = 100
 
 
@@ -89,6 +92,8 @@ class Grid:
         self.half = sample.shape[1] // 2
         self.books = [codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)]
         self.slack = 0.0
+        #: Largest squared distance of a link where every cell within it is visited, else None.
+        self.bound: float | None = None
 
     def distances(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Squared distances of both halves to their centroids, but for a constant of each vector."""
@@ -103,6 +108,8 @@ class Grid:
         """The cells that each vector visits, its own first."""
         one, two = self.distances(vectors)
         width = two.shape[1]
+        if self.bound is not None:
+            return self._within(one, two, width)
         least1, least2 = one.min(1), two.min(1)
         near1, near2 = one <= (least1 + self.slack)[:, None], two <= (least2 + self.slack)[:, None]
         out = [[c] for c in (one.argmin(1) * width + two.argmin(1)).tolist()]
@@ -114,6 +121,24 @@ class Grid:
         return out
 
 
+    def _within(self, one: np.ndarray, two: np.ndarray, width: int) -> list[list[int]]:
+        """The cells that come within the bound of each vector, its own first."""
+        gaps = []
+        for d, book in zip((one, two), self.books):
+            home = d.argmin(1)
+            apart = np.sqrt(np.maximum((book * book).sum(1)[:, None] + (book * book).sum(1)[None, :] - 2 * book @ book.T, 0))[home]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(apart > 1e-12, np.maximum(d - d[np.arange(len(d)), home][:, None], 0) / (2 * apart), 0.0)
+            gaps.append(plane * plane)
+        out = [[c] for c in (one.argmin(1) * width + two.argmin(1)).tolist()]
+        for r, cells in enumerate(out):
+            home, first, second = cells[0], gaps[0][r], gaps[1][r]
+            i, j = np.flatnonzero(first <= self.bound), np.flatnonzero(second <= self.bound)
+            i, j = i[np.argsort(first[i], kind="stable")], j[np.argsort(second[j], kind="stable")]
+            cells += [c for x, y in traverse(first, second, i, j, self.bound) if (c := x * width + y) != home]
+        return out
+
+
 def packed(df: DataFrame, ident: str, vector: str) -> DataFrame:
     """ident and ``v``: the vector as bytes of float64, null if it can't link."""
     bounded_batches(df.sparkSession)
@@ -139,11 +164,11 @@ def rows_of(column) -> np.ndarray:
 
 
 def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES, threshold: float = THRESHOLD, target: float = TARGET) -> Grid:
-    """Codebooks from a bounded sample (by hash); slack from queries compared with all classes."""
+    """Codebooks from a bounded sample (by hash); slack from queries compared with all classes, or the bound of a link."""
     picked = classes.orderBy(F.xxhash64("v")).limit(min(sample, n)).select("v").toArrow()["v"].to_pylist()
     points = rows_of(picked)
-    k = int(min(CENTROIDS, max(1, round(np.sqrt(n / PER_CELL))), len(points)))
-    grid = Grid(points, k)
+    largest = max(1, len(points) // PER_CENTROID)
+    grid = Grid(points, int(min(max(1, round(np.sqrt(n / PER_CELL))), largest)))
     counted = np.zeros((0, STEPS + 1), np.int64)
     # further queries are drawn while few have links
     for at in range(0, len(points), queries):
@@ -151,14 +176,16 @@ def fit(classes: DataFrame, n: int, sample: int = SAMPLE, queries: int = QUERIES
         if (counted.sum(1) > 0).sum() >= ENOUGH:
             break
     links = counted[counted.sum(1) > 0]
-    grid.slack = FALLBACK
-    if len(links):
-        # every query counts the same, however many links it has
-        share = np.cumsum(links, 1) / links.sum(1)[:, None]
-        # the mean less two of its standard errors, so that few queries do not promise too much
-        found = share.mean(0) - 2 * share.std(0) / np.sqrt(len(share))
-        measured = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
-        grid.slack = measured if len(links) >= ENOUGH else max(measured, FALLBACK)
+    if len(links) < ENOUGH:
+        # cells of a chunk each: vectors go to many cells, so that these are few
+        coarse = Grid(points, int(min(max(1, round(np.sqrt(n / CHUNK))), largest)))
+        coarse.bound = 2 - 2 * threshold + 1e-9
+        return coarse
+    # every query counts the same, however many links it has
+    share = np.cumsum(links, 1) / links.sum(1)[:, None]
+    # the mean less two of its standard errors, so that few queries do not promise too much
+    found = share.mean(0) - 2 * share.std(0) / np.sqrt(len(share))
+    grid.slack = float(np.argmax(found >= target)) / STEPS * FARTHEST + 1e-9
     return grid
 
 
@@ -240,8 +267,8 @@ def _blocks(filed: DataFrame, threshold: float) -> DataFrame:
     chunks = lambda n: F.greatest(F.ceil(F.col(n) / CHUNK), F.lit(1)).cast("int")
     members = filed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n"))
     callers = visitors.groupBy("cell").agg(F.count("*").alias("k"))
-    # at most CENTROIDS squared rows
-    sizes = F.broadcast(cut(members.join(callers, "cell", "left").select("cell", chunks("n").alias("own"), chunks("k").alias("guests")), "sizes"))
+    sizes = cut(members.join(callers, "cell", "left").select("cell", chunks("n").alias("own"), chunks("k").alias("guests")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes
     own_chunk = F.pmod(F.xxhash64("uid"), F.col("own")).cast("int")
     guest_chunk = F.pmod(F.xxhash64("uid"), F.col("guests")).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
