@@ -74,6 +74,7 @@ ADDED = {
 #: Small letters of capitals that are newer than Python's tables.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_newer = re.compile("[" + "".join(map(chr, LOWER)) + "]")
 
 
 def char_class(kind: str, top: int) -> str:
@@ -284,7 +285,11 @@ class Bpe:
                     yield [self.special[piece]]
                 elif piece:
                     if not piece.isascii():
-                        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").translate(LOWER)
+                        piece = unicodedata.normalize("NFC", piece)
+                        if not below_256(piece):
+                            piece = piece.replace("Σ", "σ")
+                            if _newer.search(piece):
+                                piece = piece.translate(LOWER)
                     piece = piece.lower()
                     words = (self.latin if below_256(piece) else self.words).findall(piece)
                     got = list(map(self.young.get, words))
