@@ -90,18 +90,36 @@ def release(work: object) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``hold`` bytes; as they are without it."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not hold:
+            yield batch
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= hold:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[str],
     text: str,
     make: Callable[[], Callable[[list[bytes | None]], list]],
     fields: str,
+    hold: int = 0,
 ) -> DataFrame:
     """Columns ``keep`` of every row, and the columns that Python derives from its text.
 
     ``make`` runs once per task and returns the function for a batch of texts, which
     returns one list (or Arrow array) for each column of ``fields`` (a DDL string); its
-    ``close``, if any, is called at the end of the task.
+    ``close``, if any, is called at the end of the task.  ``hold``: bytes that batches are gathered to.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -113,7 +131,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in gathered(batches, hold):
             columns = batch.columns
             derived = work(columns[-1].to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -136,6 +154,7 @@ def rewrite_rows(
     text: str,
     make: Callable[[], Callable[[list[bytes | None]], tuple[list | None, list | None]]],
     length: str = "n_chars",
+    hold: int = 0,
 ) -> DataFrame:
     """The rows of ``df`` with new texts, or without those that the function rejects.
 
@@ -151,7 +170,7 @@ def rewrite_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in gathered(batches, hold):
             columns = list(batch.columns)
             old = columns[at].cast(pa.binary()).to_pylist()
             texts, flags = work(old)

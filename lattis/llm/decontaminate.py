@@ -10,29 +10,39 @@ Words that no item holds, and neighbours that never stand together in an item, b
 match.  These breaks are found for a whole batch by numpy, so that only runs that may
 hold a window walk through the automaton; the result is the same as for all words.
 
-Test items are cut into shards of at most ``SHARD_WORDS`` words.  Each shard is a broadcast
-of bounded size; with several shards every batch meets them one after the other.
+Test items are dealt to shards of about ``SHARD_WORDS`` words.  Tasks build a shard's automaton and save it in the
+shared folder (through ``pyarrow.fs``), tasks load it from there: no items pass the driver.  With several shards a task
+gathers ``HOLD`` bytes of texts and takes them through one shard after the other.
 
 Defined cases: null and empty texts (also items) have no words; an item without words has
-no window; repeated items count once per id; a null id is the string ``null``.
+no window; repeated items count once per id; a null id is the string ``null``; repeated document rows each get
+their row; columns beyond those named are kept by ``clean`` and not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, rewrite_rows
+from .common import map_texts, new_path, rewrite_rows
 
 WINDOW = 10
 #: Words of test items in one automaton.
 SHARD_WORDS = 100_000
+#: Bytes that an item word is taken for when items are dealt to shards.
+BYTES_A_WORD = 6
+#: Bytes of texts that a load of several shards serves, and that go through one at a time.
+HOLD, PORTION = 64 << 20, 4 << 20
 #: A document goes if windows cover more than this share of its words; else the spans go.
 MAX_COVERAGE = 0.5
 
@@ -179,51 +189,91 @@ def add_span(spans: list[tuple[int, int]], start: int, end: int) -> None:
     spans.append((start, end))
 
 
-def shards(benchmark: DataFrame, item: str, text: str, window: int, shard_words: int) -> list:
-    """Broadcast automata that hold all items, each of at most ``shard_words`` words (or one item)."""
-    context, out = benchmark.sparkSession.sparkContext, []
-    items: list[tuple[str, list[bytes]]] = []
-    size = 0
+def shards(benchmark: DataFrame, item: str, text: str, window: int, shard_words: int) -> list[str]:
+    """Files in the shared folder with automata that together hold all items, each of about ``shard_words`` words (or one item).
+
+    Different rows are dealt to shards by hash, and each shard's automaton is built and saved by a task; what comes to
+    the driver are the names of the files.
+    """
+    spark = benchmark.sparkSession
+    folder = new_path(spark, "automata")
     rows = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("key"), F.col(text).cast("string").cast("binary").alias("text")
-    )
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row.text) if row.text is not None else None)
-        if size and size + len(words) > shard_words:
-            out.append(context.broadcast(Automaton(items, window)))
-            items, size = [], 0
-        items.append((row.key, words))
-        size += len(words)
-    out.append(context.broadcast(Automaton(items, window)))
-    return out
-
-
-def matcher(parts: list) -> Callable[[list[bytes | None]], tuple[list[list[bytes]], list]]:
-    """A function from texts to their words and, for each, (spans, item ids) over all shards."""
-    only = parts[0].value if len(parts) == 1 else None
+    ).distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // (BYTES_A_WORD * shard_words)))
+
+    def build(items: pd.DataFrame) -> pd.DataFrame:
+        made = Automaton([(key, words_of(raw)) for key, raw in sorted(zip(items["key"], items["text"].map(lambda x: bytes(x) if x is not None else b"")))], window)
+        path = f"{folder}-{uuid.uuid4().hex}"  # of this attempt of the task
+        system, place = file_system(path)
+        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(place) as out:
+            out.write(pickle.dumps(made, pickle.HIGHEST_PROTOCOL))
+        return pd.DataFrame({"path": [path]})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(count)))
+    return sorted(r.path for r in dealt.groupBy("shard").applyInPandas(build, "path string").collect())
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+_held: dict[str, Automaton] = {}
+
+
+def loaded(path: str) -> Automaton:
+    """An automaton of a shard; a worker holds one at a time."""
+    if path not in _held:
+        _held.clear()
+        system, place = file_system(path)
+        with system.open_input_stream(place) as f:
+            _held[path] = pickle.loads(f.read())
+    return _held[path]
+
+
+def matcher(paths: list[str]) -> Callable[[list[bytes | None]], tuple[list[int], list]]:
+    """A function from texts to (numbers of words, and for each text its spans and item ids over all shards).
+
+    Shards are the outer loop: each is loaded once for all texts of a call, which go through it a few at a time.
+    """
 
     def match(texts):
-        docs = [words_of(t) for t in texts]
-        if only is not None:
-            return docs, only.batch(docs)
-        merged: list = [([], set()) for _ in docs]
-        for part in parts:
-            automaton = part.value
-            for (spans, keys), (more, also) in zip(merged, automaton.batch(docs)):
-                spans += more
-                keys |= also
-            part.__dict__.pop("_value", None)  # one shard in memory at a time
+        sizes: list[int] = []
+        merged: list = [([], set()) for _ in texts]
+        for k, path in enumerate(paths or [None]):
+            automaton = loaded(path) if path else Automaton([])
+            for at in portions(texts):
+                docs = [words_of(t) for t in texts[at]]
+                if k == 0:
+                    sizes += map(len, docs)
+                for (spans, keys), (more, also) in zip(merged[at], automaton.batch(docs)):
+                    spans += more
+                    keys |= also
         out = []
         for spans, keys in merged:
             whole: list[tuple[int, int]] = []
-            for a, b in sorted(spans, key=lambda x: (x[1], x[0])):
+            for a, b in sorted(spans, key=lambda x: (x[1], x[0])) if len(paths) > 1 else spans:
                 add_span(whole, a, b)
             out.append((whole, keys))
-        return docs, out
+        return sizes, out
 
     return match
 
 
+def portions(texts: list[bytes | None]) -> Iterator[slice]:
+    """Runs of texts of about ``PORTION`` bytes."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= PORTION:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id",
     item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS,
@@ -235,9 +285,9 @@ def find(
         match = matcher(parts)
 
         def work(texts):
-            words, found = match(texts)
+            sizes, found = match(texts)
             return [
-                [len(w) for w in words],
+                sizes,
                 [sum(b - a for a, b in spans) for spans, _ in found],
                 [sorted(keys) for _, keys in found],
                 [[{"start": a, "end": b} for a, b in spans] for spans, _ in found],
@@ -245,7 +295,7 @@ def find(
 
         return work
 
-    return map_texts(docs, keep, text, make, "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    return map_texts(docs, keep, text, make, "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>", HOLD * (len(parts) > 1))
 
 
 def clean(
@@ -259,17 +309,17 @@ def clean(
         match = matcher(parts)
 
         def work(texts):
-            words, found = match(texts)
+            sizes, found = match(texts)
             new, stay = list(texts), [True] * len(texts)
-            for i, (w, (spans, _)) in enumerate(zip(words, found)):
+            for i, (n, (spans, _)) in enumerate(zip(sizes, found)):
                 if spans:
-                    stay[i] = sum(b - a for a, b in spans) <= max_coverage * len(w)
+                    stay[i] = sum(b - a for a, b in spans) <= max_coverage * n
                     new[i] = without(texts[i], spans)
             return new, stay
 
         return work
 
-    return rewrite_rows(docs, text, make)
+    return rewrite_rows(docs, text, make, hold=HOLD * (len(parts) > 1))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -72,6 +72,25 @@ def test_clean(spark, docs, odd):
     assert out[0].text == f"Ünder {filler}, . {filler} end" and out[0].n_chars == len(out[0].text)
 
 
+def test_shards_are_loaded_once_for_many_texts(spark, docs, monkeypatch):
+    """Three shards or one: the same hits; a call with many portions loads each shard once."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    three = decontaminate.shards(benchmark, "item_id", "text", 10, 600)
+    one = decontaminate.shards(benchmark, "item_id", "text", 10, 100_000)
+    assert len(one) == 1 and len(three) >= 3
+    texts = [f"start {items[i % 30][1]} end {i}".encode() for i in range(200)] + [None, b""]
+    opened, real = [], decontaminate.file_system
+    monkeypatch.setattr(decontaminate, "file_system", lambda path: opened.append(path) or real(path))
+    monkeypatch.setattr(decontaminate, "PORTION", 1000)
+    sizes, found = decontaminate.matcher(three)(texts)
+    assert sorted(opened) == three and sizes == [len(decontaminate.words_of(t)) for t in texts]
+    assert (sizes, found) == decontaminate.matcher(one)(texts) and all(k == {str(i % 30)} for i, (_, k) in enumerate(found[:200]))
+    table = docs([(i, t.decode()) for i, t in enumerate(texts[:200])])
+    both = [sorted(map(str, decontaminate.find(table, benchmark, ["doc_id"], shard_words=n).collect())) for n in (600, 100_000)]
+    assert both[0] == both[1]
+
+
 # --- chat ------------------------------------------------------------------------------------
 
 PIECES = ["a", "\n", " ", "\\", "n", "<", "s", "/", ">", "[", "]", "é", *chat.CONTROLS, "<\\s>", "[\\\\INST]"]
