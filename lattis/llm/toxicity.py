@@ -6,18 +6,19 @@ weighed by ``DECAY`` for every symbol left out; it is scaled to 1 for equal stri
 make inserted characters cheap; separators inside a word, look-alike digits and words spelled
 in single letters are undone before.
 
-Training.  Documents with labels (a bounded sample by hash, never held-out rows) are cut into
-sentences and these into words: a toxic document is a bag that needs one insult at least.
-Seeds are the words that explain most toxic bags, picked greedily by the bags
-they newly explain, so that what merely stands in copies of one toxic text is not taken.
-Positive strings are the seeds and their versions with gaps, inserted and swapped characters;
-negative ones are words of clean sentences, first by hash, then those nearest the border.
-The SVM is linear in the Nystroem features of landmarks chosen among both kinds.
+Training.  Labels are on documents, insults in their sentences: a labelled document (of a bounded sample by hash, never
+held-out rows) is a bag of sentences, whose units are words and, where no word explains a bag, pairs of neighbours.  A toxic
+bag has one toxic unit at least, a clean one none.  Rounds of labelling and fitting: first every toxic bag picks the
+units that most tell toxic bags from clean ones, later the unit of the largest margin; what ``support`` bags pick is
+positive, with versions that have inserted or doubled characters.  All units of clean bags are negative: fitting starts
+with some, and adds all others that violate their margin until none do or the rounds end.  The SVM is linear in the
+Nystroem features of landmarks chosen among both kinds.
 
 Scoring.  The weights on landmarks fold into one vector over subsequences, because the
 kernel is an inner product of (hashed) subsequence counts; a word's margin is then a sum over its own
 subsequences.  A document's score is a logistic function, fitted on the sample, of its
-largest margins.  All words of all texts count; margins of frequent words are cached.
+largest margins.  All words of all texts count; margins of frequent words are cached.  Pairs are scored where phrases
+were learnt and the first word is like the first of one (a kernel of ``HEAD`` at least).
 
 Words longer than ``LONGEST`` are cut to overlapping pieces, in training and in scoring alike.
 
@@ -34,7 +35,7 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, map_texts, rewrite_rows
@@ -43,13 +44,16 @@ from .quality import held_out, training_rows
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
 SPAN, DECAY, CLASSES = 6, 0.5, 64
-#: Seeds, negative words (by hash, then by margin) and landmarks, at most.
-SEEDS, NEGATIVES, HARD, LANDMARKS = 400, 4000, 2000, 384
-#: A seed must stand in this many times more toxic than clean bags (by share), and newly explain this share of toxic bags,
-#: or this many where the share asks for more.
-RATIO, GAIN, SUPPORT = 8.0, 0.002, 4
-#: The share of toxic bags that a word must explain a second or third time.
-AGAIN = 0.02
+#: Negative words that fitting starts with, landmarks, and rounds of violators and of labelling.
+START, LANDMARKS, ROUNDS, LABELLINGS = 4000, 384, 2, 2
+#: A unit must stand in this many times more toxic than clean bags (by share) to explain one.
+RATIO = 8.0
+#: Toxic bags that must pick a unit: this share of all, within these bounds; for a phrase this share, and the upper bound at least.
+SHARE, LEAST, MOST, PHRASE_SHARE = 0.002, 2, 4, 0.02
+#: Units that a bag picks at first, and the share of toxic bags for which any of these, not the first alone, is positive.
+DEPTH, AGAIN = 3, 0.02
+#: How alike a word and the first of a phrase must be.
+HEAD = 0.6
 LONGEST = 32
 CACHE = 120_000
 CUTOFF = 0.5
@@ -83,6 +87,20 @@ def plain(word: str) -> str:
     return word
 
 
+def normal(unit: str) -> str:
+    """A word, or the words of a phrase, as strings of the kernel."""
+    return " ".join(map(plain, unit.split(" "))) if " " in unit else plain(unit)
+
+
+def pairs_of(text: str) -> set[str]:
+    """Neighbouring words of a sentence, normalised."""
+    out = set()
+    for sentence in _sentence.split(unicodedata.normalize("NFC", text).lower()):
+        words = [p for w in sentence.split() if (p := plain(w))]
+        out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return out
+
+
 def strings_of(text: str) -> list[list[str]]:
     """Sentences as lists of raw words, with words spelled in single letters joined and added."""
     out = []
@@ -188,14 +206,19 @@ class Model:
         self.vector = np.zeros(CLASSES**3)
         self.bias = -1.0
         self.logit = np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0])
-        self.young: dict[str, float] = {}
-        self.old: dict[str, float] = {}
+        #: First words of the phrases that were learnt; landmarks and their weights.
+        self.heads: list[str] = []
+        self.marks: list[str] = []
+        self.beta = np.zeros(0)
+        self.forget()
 
     def forget(self) -> None:
-        self.young, self.old = {}, {}
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+        self.opens: dict[str, bool] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "young": {}, "old": {}}
+        return {**self.__dict__, "young": {}, "old": {}, "opens": {}}
 
     def fit(self, good: list[str], bad: list[str], seed: int = 11) -> Model:
         rng = np.random.default_rng(seed)
@@ -217,9 +240,22 @@ class Model:
         row, col, value = features(marks)
         np.add.at(self.vector, col, beta[row] * value)
         self.bias = float(w[-1])
-        self.young, self.old = {}, {}
+        self.marks, self.beta = marks, beta
+        self.heads = sorted({w.split(" ")[0] for w in bad if " " in w})
+        self.forget()
         return self
 
+    def phrases(self, words: list[str]) -> list[str]:
+        """Pairs of neighbours whose first word is like that of a phrase."""
+        unknown = list({w for w in words[:-1] if w not in self.opens})
+        if unknown:
+            if len(self.opens) > CACHE:
+                self.opens = {}
+            known = {w: [f"^{p[:LONGEST]}$"] for w in unknown if (p := plain(w))}
+            like = kernel([x[0] for x in known.values()], [f"^{h[:LONGEST]}$" for h in self.heads]).max(1) if known else []
+            self.opens.update(dict.fromkeys(unknown, False) | {w: bool(k >= HEAD) for w, k in zip(known, like)})
+        return [f"{a} {b}" for a, b in zip(words, words[1:]) if self.opens.get(a)]
+
     def margins(self, words: list[str]) -> list[float]:
         """Margins of normalised words (empty ones get the least)."""
         pieces, owner = [], []
@@ -240,7 +276,7 @@ class Model:
         if None in got:
             missing = list({w for w, g in zip(words, got) if g is None})
             fresh = [w for w in missing if w not in self.old]
-            found = {w: self.old[w] for w in missing if w in self.old} | dict(zip(fresh, self.margins([plain(w) for w in fresh]) if fresh else ()))
+            found = {w: self.old[w] for w in missing if w in self.old} | dict(zip(fresh, self.margins([normal(w) for w in fresh]) if fresh else ()))
             if len(self.young) + len(found) > CACHE:
                 self.old, self.young = self.young, {}
             self.young.update((w, m) for w, m in found.items() if len(w) <= 64)
@@ -253,6 +289,8 @@ class Model:
         for t in texts:
             for s in strings_of((t or b"").decode("utf-8", "replace")):
                 words += s
+                if self.heads:
+                    words += self.phrases(s)
             ends.append(len(words))
         margins = np.array(self.look(words)) if words else np.zeros(0)
         out, start = np.zeros((len(texts), 3)), 0
@@ -284,32 +322,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def seeds(bags: DataFrame, toxic: int, clean: int) -> list[str]:
-    """Words that explain toxic bags, the most telling first."""
-    counts = bags.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    ratio = ((F.col("bad") + 0.1) / (toxic + 1)) / ((F.col("good") + 0.1) / (clean + 1))
-    least = min(max(2, int(GAIN * toxic)), SUPPORT)
-    picked = counts.where((F.col("bad") >= least) & (ratio >= RATIO) & (F.length("word") >= 3)).orderBy(F.desc("bad"), "good", "word").limit(10 * SEEDS)
-    # toxic bags of the sample alone, and few words of each
-    rows = bags.where("y = 1").join(F.broadcast(picked.select("word")), "word").groupBy("bag").agg(F.collect_list("word").alias("words")).select("words").toArrow()
-    index: dict[str, set[int]] = {}
-    for i, words in enumerate(rows["words"].to_pylist()):
-        for w in words:
-            index.setdefault(w, set()).add(i)
-    return cover(index, least, max(least, int(AGAIN * toxic)))
-
-
-def cover(index: dict[str, set[int]], least: int, again: int) -> list[str]:
-    """Words picked greedily by the bags that they newly explain: ``least`` at least, then (twice more) ``again``."""
-    out: list[str] = []
-    for need in (least, again, again):
-        open_ = {w: set(bags) for w, bags in index.items() if w not in out and len(bags) >= need}
-        while open_ and len(out) < SEEDS:
-            best = max(open_, key=lambda w: (len(open_[w]), w))
-            new = open_.pop(best)
-            out.append(best)
-            open_ = {w: left for w, bags in open_.items() if len(left := bags - new) >= need}
-    return out
+def support(toxic: int) -> int:
+    """Toxic bags that must pick a unit."""
+    return min(max(LEAST, int(SHARE * toxic)), MOST)
+
+
+def telling(bags: DataFrame, toxic: int, clean: int, least: int) -> DataFrame:
+    """(unit, weight): units of ``least`` toxic bags that stand far more often in toxic bags than in clean ones, weighed by bags times log of ratio."""
+    counts = bags.groupBy("unit").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    ratio = (F.col("bad") / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1))
+    return counts.where((F.col("bad") >= least) & (F.length("unit") >= 3)).select("unit", "bad", ratio.alias("ratio")).where(F.col("ratio") >= RATIO).select("unit", (F.col("bad") * F.log("ratio")).alias("weight"))
+
+
+def picks(toxic_bags: DataFrame, told: DataFrame, by: str, depth: int = 1) -> DataFrame:
+    """(bag, unit, place): the units of every toxic bag that are largest by a column of ``told``."""
+    order = Window.partitionBy("bag").orderBy(F.desc(by), "unit")  # a document's words
+    return toxic_bags.join(told, "unit").withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth).select("bag", "unit", "place")
+
+
+def chosen(picked: DataFrame, sketches: DataFrame, least: int) -> list[str]:
+    """Units that ``least`` bags pick: fewer than there are toxic bags in the sample.
+
+    Bags of one sketch (the least of three hashes of their words, which near copies mostly share) count once, so that
+    what merely stands in copies of one toxic text is not taken.
+    """
+    found = picked.join(sketches, "bag").groupBy("unit").agg(F.count_distinct("sketch").alias("n"))
+    return sorted(r.unit for r in found.where(F.col("n") >= least).collect())
+
+
+def sketched(toxic_bags: DataFrame) -> DataFrame:
+    least = [F.min(h) for h in (F.xxhash64("unit"), F.hash("unit"), F.xxhash64("unit", F.lit(1)))]
+    return toxic_bags.groupBy("bag").agg(F.xxhash64(*least).alias("sketch"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -323,26 +366,73 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     def words_of():
         return lambda texts: [[list({p for s in strings_of((t or b"").decode("utf-8", "replace")) for w in s if (p := plain(w))}) for t in texts]]
 
+    def neighbours():
+        return lambda texts: [[list(pairs_of((t or b"").decode("utf-8", "replace"))) for t in texts]]
+
     # copies of one text are one bag
-    bags = map_texts(sample.groupBy("text").agg(F.max("y").alias("y")).withColumn("bag", F.xxhash64("text")), ["bag", "y"], "text", words_of, "words array<string>")
-    bags = cut(bags.select("bag", "y", F.explode("words").alias("word")), "toxic-bags")
-    bad = seeds(bags, toxic, clean)
-    model = Model(min(max(toxic / (toxic + clean), 0.001), 0.999))
+    texts = sample.groupBy("text").agg(F.max("y").alias("y")).withColumn("bag", F.xxhash64("text"))
+    bags = map_texts(texts, ["bag", "y"], "text", words_of, "units array<string>")
+    bags = cut(bags.select("bag", "y", F.explode("units").alias("unit")), "toxic-bags")
+    model, least = Model(min(max(toxic / (toxic + clean), 0.001), 0.999)), support(toxic)
+    toxic_bags = bags.where("y = 1").select("bag", "unit")
+    first = cut(picks(toxic_bags, telling(bags, toxic, clean, least), "weight", DEPTH), "toxic-picks")
+    sketches = cut(sketched(toxic_bags), "toxic-sketches")
+    bad = sorted({*chosen(first.where("place = 1"), sketches, least), *chosen(first, sketches, max(least, int(AGAIN * toxic)))})
+    # phrases: of bags that no word explains, if there are enough of them
+    often = max(MOST, int(PHRASE_SHARE * toxic))
+    rest = texts.where("y = 1").join(first, "bag", "left_anti")
+    good: list[str] = []
+    if rest.limit(often).count() >= often:
+        open_pairs = map_texts(rest, ["bag"], "text", neighbours, "units array<string>").select("bag", F.explode("units").alias("unit"))
+        open_pairs = cut(open_pairs.withColumn("y", F.lit(1.0)), "toxic-pairs")
+        frequent = cut(open_pairs.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") >= often).select("unit"), "toxic-pairs")
+        if not frequent.isEmpty():
+            others = map_texts(texts.where("y = 0"), ["bag", "y"], "text", neighbours, "units array<string>").select("bag", "y", F.explode("units").alias("unit"))
+            others = cut(others, "clean-pairs")
+            both = open_pairs.join(frequent, "unit", "left_semi").select("bag", "y", "unit").unionByName(others.join(frequent, "unit", "left_semi").select("bag", "y", "unit"))
+            phrases = chosen(picks(open_pairs.select("bag", "unit"), telling(both, toxic, clean, often), "weight"), sketches, often)
+            heads = [p.split(" ")[0] for p in phrases]
+            if heads:
+                good = [r.unit for r in others.where(F.substring_index("unit", " ", 1).isin(heads)).select("unit").distinct().collect()]
+                good = sorted(set(good) - set(phrases))
+            bad += phrases
+            discard(others)
+        discard(open_pairs, frequent)
     if not bad:
+        discard(sample, bags, first, sketches)
         return model
-    clean_words = cut(bags.where("y = 0").groupBy("word").agg(F.count("*").alias("n")), "clean-words")
-    good = [r.word for r in clean_words.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
-    good += [r.word for r in clean_words.orderBy(F.desc("n"), "word").limit(NEGATIVES // 4).collect()]
-    model.fit(good, bad)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def margins():
-        return lambda texts: [shared.value.margins([t.decode() for t in texts])]
-
-    scored = map_texts(clean_words.where(~F.col("word").isin(bad)), ["word"], "word", margins, "margin double")
-    good += [r.word for r in scored.orderBy(F.desc("margin"), "word").limit(HARD).collect()]
-    model.fit(good, bad)
-    shared2 = docs.sparkSession.sparkContext.broadcast(model)
+    clean_words = cut(bags.where("y = 0").groupBy("unit").agg(F.count("*").alias("n")), "clean-words")
+    good += [r.unit for r in clean_words.orderBy(F.xxhash64("unit"), "unit").limit(START).collect()]
+    good += [r.unit for r in clean_words.orderBy(F.desc("n"), "unit").limit(START // 4).collect()]
+    spark = docs.sparkSession
+    for labelling in range(LABELLINGS):
+        for _ in range(ROUNDS):
+            model.fit(good, bad)
+            shared = spark.sparkContext.broadcast(model)
+
+            def margins():
+                return lambda units: [shared.value.margins([t.decode() for t in units])]
+
+            against = map_texts(clean_words, ["unit"], "unit", margins, "margin double").where(F.col("margin") > -1)
+            known = set(good) | set(bad)
+            more = sorted(r.unit for r in against.select("unit").collect() if r.unit not in known)
+            shared.unpersist()
+            if not more:
+                break
+            good += more
+        if labelling + 1 < LABELLINGS:
+            # the largest margin of each toxic bag, if over 0 and more toxic than clean
+            shared = spark.sparkContext.broadcast(model)
+
+            def margins():
+                return lambda units: [shared.value.margins([t.decode() for t in units])]
+
+            known = bags.groupBy("unit").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where((F.col("bad") / (toxic + 1)) > (F.col("good") / (clean + 1)))
+            scored = map_texts(known, ["unit"], "unit", margins, "margin double").where(F.col("margin") > 0)
+            again = chosen(picks(toxic_bags, scored, "margin"), sketches, least)
+            bad = sorted(set(bad) | set(again))
+            shared.unpersist()
+    shared2 = spark.sparkContext.broadcast(model)
 
     def summaries():
         fitted = shared2.value
@@ -356,7 +446,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     found = map_texts(sample, ["id", "y"], "text", summaries, "x array<double>")
     # repeated ids could multiply rows: the bound holds for rows too
     table = found.orderBy(F.xxhash64("id"), "id", "x").limit(rows).toArrow()
-    discard(sample, bags, clean_words)
+    discard(sample, bags, clean_words, first, sketches)
     model.logit = logistic(np.array(table["x"].to_pylist()).reshape(-1, 3), table["y"].to_numpy())
     return model
 

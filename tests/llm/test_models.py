@@ -215,8 +215,58 @@ def test_toxicity_odd_rows(spark, docs, odd):
     assert {r.score for r in toxicity.score(docs(table), labels.limit(0)).collect()} == {0.5}
 
 
-def test_toxicity_seed_of_small_support(spark):
-    """An insult in five of 10,000 toxic bags is a seed."""
-    bags = [(i, 1.0, "nitwit") for i in range(400)] + [(1000 + i, 1.0, "blister") for i in range(5)] + [(5000 + i, 0.0, "table") for i in range(50)]
-    found = toxicity.seeds(spark.createDataFrame(bags, "bag bigint, y double, word string"), 10_000, 10_000)
-    assert found == ["nitwit", "blister"]
+def test_toxicity_unit_of_small_support(spark):
+    """An insult that five of 10,000 toxic bags pick is positive; a word of five copies of one toxic text is not."""
+    bags = [(i, 1.0, w) for i in range(400) for w in ("nitwit", f"only{i}")] + [(1000 + i, 1.0, w) for i in range(5) for w in ("blister", f"other{i}", f"more{i}")]
+    bags += [(2000 + i, 1.0, w) for i in range(5) for w in ("copied", "text", "words")] + [(5000 + i, 0.0, "table") for i in range(50)]
+    df = spark.createDataFrame(bags, "bag bigint, y double, unit string")
+    toxic = df.where("y = 1").select("bag", "unit")
+    least = toxicity.support(10_000)
+    picked = toxicity.picks(toxic, toxicity.telling(df, 10_000, 10_000, least), "weight")
+    assert toxicity.chosen(picked, toxicity.sketched(toxic), least) == ["blister", "nitwit"]
+
+
+def phrase_table():
+    """Toxic where "dirty swine" stands together; both words stand apart in clean texts."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("ser", "tan", "mol", "pri", "gul") for b in ("ent", "ova", "ilk", "ado", "ume")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    table = []
+    for i in range(600):
+        middle = f"dirty swine {line(3)}" if i % 4 == 0 else rng.choice([f"dirty {line(1)} and swine", "swine are not dirty", line(3)])
+        table.append((i, f"{line(12)}. {line(2)} {middle} {line(4)}. {line(6)}"))
+    return table
+
+
+def test_toxic_as_a_phrase_alone(spark, docs):
+    table = phrase_table()
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in table], "doc_id bigint, toxic int")
+    # changed phrases, and words apart, in documents without labels
+    more = [(1000, "then dirrty swine went"), (1001, "so dirty swinne went"), (1002, "dirty water for swine"), (1003, "swine dirty")]
+    out = {r.doc_id: r for r in toxicity.score(docs(table + more), labels).collect()}
+    assert all(out[i].predicted == (i % 4 == 0) for i, _ in table)
+    assert [out[i].predicted for i, _ in more] == [1, 1, 0, 0]
+
+
+def test_scores_are_those_of_the_kernel_machine(spark, docs):
+    """Every score against margins computed from kernels with landmarks, unit by unit, without folding, caches or batches."""
+    table = phrase_table()
+    df = docs(table)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in table], "doc_id bigint, toxic int")
+    model = toxicity.fit(df, labels)
+    assert model.heads == ["dirty"]
+
+    def margin(unit):
+        pieces = toxicity.windows(unit) if unit else []
+        return max((float(toxicity.kernel([p], model.marks)[0] @ model.beta) + model.bias for p in pieces), default=-2.0)
+
+    for _, text in table[:40] + [(0, ""), (0, "a"), (0, "d i r t y swine! " + "x" * 100)]:
+        found = []
+        for words in toxicity.strings_of(text):
+            found += [margin(toxicity.plain(w)) for w in words]
+            for a, b in zip(words, words[1:]):
+                if toxicity.plain(a) and toxicity.kernel([f"^{toxicity.plain(a)}$"], ["^dirty$"])[0, 0] >= toxicity.HEAD:
+                    found.append(margin(f"{toxicity.plain(a)} {toxicity.plain(b)}"))
+        own = sorted((min(max(m, -2), 2) for m in found), reverse=True) + [-2.0, -2.0]
+        z = model.logit @ [1, own[0], own[1], np.log1p(sum(m > 0 for m in found))]
+        assert abs(model.score([text.encode()])[0] - 1 / (1 + np.exp(-z))) < 1e-6
