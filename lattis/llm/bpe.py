@@ -17,7 +17,8 @@ Decoding.  ``decode`` gives the library's text for a tokenizer without decoder:
 strings joined by a space.  ``Decoder`` turns ids back into text incrementally: symbols
 to bytes, bytes to text by a UTF-8 state machine that holds at most three bytes.
 
-Null text counts as empty; empty text has no tokens (hash of nothing).
+Null text counts as empty; empty text has no tokens (hash of nothing); repeated rows each get their row;
+columns beyond those kept and the text are not looked at.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ task of bounded size.  A task returns sums of links per class and a
 spanning forest of the links it saw, never pairs; forests join to components.
 
 Defined cases: vectors that are null, empty or zero, of another length than most, or hold null
-or non-finite components have no links and are components of their own; a null id is kept.
+or non-finite components have no links and are components of their own; a null id is kept,
+rows of a repeated id each get their row and link with each other's vectors as any rows do; columns beyond the two are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ The fitted forest is five flat arrays; numpy walks all rows of a batch down a tr
 
 Defined cases: null text is empty, an empty text has all-zero statistics and a score like any
 other; without labelled rows every score is 0.5; null labels are left out; repeated rows each get their
-row, and of conflicting labels of one id the largest counts.
+row, and of conflicting labels of one id the largest counts; columns beyond
+id and text are not looked at.
 """
 
 from __future__ import annotations

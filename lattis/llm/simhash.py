@@ -24,7 +24,7 @@ groups are found by ``graph.components``.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like all
 others; fewer words than a shingle: the whole sequence is the one shingle; repeated rows
-each get a row; a null id gets a row and is never the smallest id.
+each get a row; a null id gets a row and is never the smallest id; columns beyond id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ Words longer than ``LONGEST`` are cut to overlapping pieces, in training and in
 Defined cases: null text is empty; an empty text has no margin and the score of a text
 without insults; repeated rows each get their row, and of conflicting labels of one id the
 largest counts; without labels of both kinds every score is the share of toxic labels (0.5
-without labels).
+without labels); columns beyond id, text and label are not looked at.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ types than asked for never show; an empty table gives an archive without page re
 rows have a record each; of rows that share the largest id each is a response.  A header without
 a readable length, or of over ``HEAD_BYTES``, is passed over up to the next line that starts a
 record; a record that ends early with its file is left out.  Damaged gzip data stop the job.
+Ids that are no whole numbers are null when read back.  Columns beyond id, address and payload are not looked at.
 """
 
 from __future__ import annotations
