@@ -11,8 +11,10 @@ walking symbol lists.  Below order 0 all symbols that were never seen are equall
 Asking and answering.  Texts are cut into chunks of about ``CHUNK_BYTES``.  One pass over
 them asks: each distinct word and n-gram of a chunk becomes a row, with its count in the chunk's
 training documents.  The rows' sums are the model.  Tries are built and asked
-within groups of n-grams that end in the same two context bytes, dealt to groups of about ``SHARD_NODES``;
-orders 0 and 1, at most 65,536 n-grams, travel to all of them.  The answers (a word's count, an n-gram's
+within groups of n-grams that end in the same two context bytes, dealt to shards of about ``SHARD_NODES``.  A group of
+more n-grams than that is split by its third context byte, and again by the fourth and the fifth; the counts of the orders
+that it is split below, at most 256 a context, then go to the shards of its parts.
+Orders 0 and 1, at most 65,536 n-grams, travel to all of them.  The answers (a word's count, an n-gram's
 log probability) are joined to the chunks that asked, and a chunk's texts, which travel packed, are scored
 beside its own answers.  No model is held whole anywhere: a task needs the memory of a chunk or a
 group, the driver that of the two lowest orders, and a frequent n-gram makes one row for each
@@ -35,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, release
+from .common import as_bytes, bounded_batches, cut, discard, release
 
 ORDER = 5
 SYMBOLS, END = 256, 0xFF  # 0xFF is in no UTF-8 text
@@ -216,10 +218,18 @@ class Trie:
     """Counts by order, and what escapes and exclusion need; ``keys`` hold ORDER + 1 bytes.
 
     ``low``: keys of two bytes (one context byte, the symbol) over the whole corpus with
-    their counts, if ``keys`` are a shard.
+    their counts, if ``keys`` are a shard.  ``level``: the context bytes that a key's group has in
+    common; for lower orders the sums of the whole corpus are in ``above``, by order.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(
+        self,
+        keys: np.ndarray,
+        counts: np.ndarray,
+        low: tuple[np.ndarray, np.ndarray] | None = None,
+        level: np.ndarray | None = None,
+        above: dict[int, tuple[np.ndarray, np.ndarray]] | None = None,
+    ):
         eight = np.uint64(8)
         self.symbols: list[Table] = []
         self.contexts: list[Table] = []
@@ -229,6 +239,9 @@ class Trie:
         for order in range(ORDER + 1):
             if order < 2 and low is not None:
                 k, c = low
+            elif above is not None and len(above.get(order, ((),))[0]):
+                own = level <= order
+                k, c = (np.concatenate(x) for x in zip((keys[own], counts[own]), above[order]))
             else:
                 k, c = keys, counts
             k, c = add(k & np.uint64((1 << 8 * (order + 1)) - 1), c)
@@ -289,27 +302,64 @@ def _rows(table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return table[index] if len(table) else np.zeros((len(index), 2))
 
 
-def shard_of(key: F.Column, shards: int) -> F.Column:
-    return F.pmod(F.shiftright(key, 8).bitwiseAND(F.lit(0xFFFF)) * 40503, F.lit(shards))
+def context(key: F.Column, length: int) -> F.Column:
+    """The last context bytes of an n-gram's key."""
+    return F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * length) - 1))
+
+
+def shard_of(group: F.Column, level: F.Column, shards: int) -> F.Column:
+    return F.when(level == 2, F.pmod(group * 40503, F.lit(shards))).otherwise(F.pmod(F.xxhash64(group, level), F.lit(shards))).cast("bigint")
 
 
 # --- the operator -------------------------------------------------------------------------
 
 
+def levels(grams_table: DataFrame, shard_nodes: int = SHARD_NODES) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (gram, n, level, group) and, by context length from 2 on, the contexts whose groups were split.
+
+    ``level`` is the least number of context bytes, from 2 to ``ORDER``, whose group has at most ``shard_nodes`` rows.
+    """
+    gram, split = F.col("gram"), []
+    out = grams_table.select("gram", "n", F.lit(2).alias("level"))
+    for length in range(2, ORDER):
+        deep = out.where(F.col("level") == length)
+        hot = cut(deep.groupBy(context(gram, length).alias("hot")).agg(F.count("*").alias("rows")).where(F.col("rows") > shard_nodes).select("hot"), "split")
+        if hot.isEmpty():
+            discard(hot)
+            break
+        split.append(hot)
+        out = out.join(hot, (F.col("level") == length) & (context(gram, length) == F.col("hot")), "left")
+        out = out.select("gram", "n", F.when(F.col("hot").isNotNull(), length + 1).otherwise(F.col("level")).alias("level"))
+    group = context(gram, 2)
+    for length in range(3, ORDER + 1):
+        group = F.when(F.col("level") == length, context(gram, length)).otherwise(group)
+    return out.withColumn("group", group), split
+
+
 def scores(grams_table: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """(gram, value): log10 probability of every n-gram of a table (gram, n) under those with n > 0."""
     trained = grams_table.where("n > 0")
     shards = max(1, math.ceil(trained.count() / shard_nodes))
     low = trained.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
     shared = grams_table.sparkSession.sparkContext.broadcast(tuple(low[c].to_numpy().astype(t) for c, t in (("gram", np.uint64), ("n", np.int64))))
+    leveled, split = levels(grams_table, shard_nodes)
+    dealt = leveled.select("gram", "n", "level", F.lit(0).alias("sum_of"), shard_of(F.col("group"), F.col("level"), shards).alias("shard"))
+    for length, _ in enumerate(split, 2):
+        below = leveled.where(F.col("level") > length)
+        sums = below.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (length + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        parts = below.select(context(F.col("gram"), length).alias("at"), shard_of(F.col("group"), F.col("level"), shards).alias("shard")).distinct()
+        sums = sums.join(parts, context(F.col("gram"), length) == F.col("at"))
+        dealt = dealt.unionByName(sums.select("gram", "n", F.lit(length).alias("level"), F.lit(length).alias("sum_of"), "shard"))
 
     def run(table: pa.Table) -> pa.Table:
-        gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
+        gram, n, level, sum_of = (table[c].to_numpy() for c in ("gram", "n", "level", "sum_of"))
         keys = gram.astype(np.uint64)
-        value = Trie(keys[n > 0], n[n > 0], shared.value).score(keys)
-        return pa.table({"gram": gram, "value": value.astype(np.float32)})
+        above = {order: (keys[sum_of == order], n[sum_of == order]) for order in range(2, ORDER)}
+        asked, trained = sum_of == 0, (sum_of == 0) & (n > 0)
+        value = Trie(keys[trained], n[trained], shared.value, level[trained], above).score(keys[asked])
+        return pa.table({"gram": gram[asked], "value": value.astype(np.float32)})
 
-    return grams_table.select("gram", "n", shard_of(F.col("gram"), shards).alias("shard")).groupBy("shard").applyInArrow(run, "gram bigint, value float")
+    return dealt.groupBy("shard").applyInArrow(run, "gram bigint, value float")
 
 
 def score(

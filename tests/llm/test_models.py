@@ -101,6 +101,22 @@ def test_ppm_asks_once_for_each_chunk(spark, docs):
     assert asked.where("word is null and gram is null").agg(F.sum("n")).first()[0] == len(train)
 
 
+def test_ppm_splits_hot_contexts(spark):
+    """N-grams that end in one hot pair of bytes go to several groups, whose answers are those of one."""
+    rng = random.Random(8)
+    made = {int.from_bytes(bytes([rng.choice(b"abcdefgh"), rng.choice(b"ijklmnop"), rng.choice(b"qrstuv"), *b". ", rng.choice(b"ABCDEF")]), "big") for _ in range(1500)}
+    made |= {int.from_bytes(bytes(rng.choice(b"xyz \xff") for _ in range(6)), "big") for _ in range(300)}
+    grams = spark.createDataFrame([(g, rng.choice([0, 1, 1, 2, 7])) for g in sorted(made)], "gram bigint, n bigint").repartition(4).cache()
+    whole = {r.gram: r.value for r in ppm.scores(grams, 1_000_000).collect()}
+    assert len(whole) == len(made)
+    for bound in (400, 100, 30):
+        leveled, split = ppm.levels(grams, bound)
+        sizes = leveled.groupBy("level", "group").count().collect()
+        assert sum(r["count"] for r in sizes) == len(made) and all(r["count"] <= bound for r in sizes) and split
+        assert {r.gram: r.value for r in ppm.scores(grams, bound).collect()} == pytest.approx(whole, rel=1e-6)
+    assert ppm.levels(grams, 1_000_000)[1] == []
+
+
 def test_ppm_without_training_rows(spark, docs):
     assert ppm.score(docs([])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
