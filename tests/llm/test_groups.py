@@ -230,6 +230,28 @@ def test_near_copies_in_a_hot_posting(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
 
 
+def test_hot_postings_are_solved_by_an_order_of_their_own(spark, docs, monkeypatch):
+    """Unlike texts meet by a passage that the sample does not show: exact counts among them put it last, no chunks are left."""
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, texts = words(60), []
+    for i in range(120):
+        own = words(90)
+        texts.append(" ".join(own + passage))
+        if i % 6 == 0:
+            texts.append(" ".join([*own[:-1], "edited", *passage]))
+    rng.shuffle(texts)
+    kept, pairs = near_copies_of(texts)
+    assert len(pairs) == 20 and len(kept) == 120
+    monkeypatch.setattr(simhash_wide, "SAMPLE", 1)
+    monkeypatch.setattr(simhash_wide, "SMALL", 4)
+    sizes, again, forests = [], simhash_wide.again, simhash_wide.forests
+    monkeypatch.setattr(simhash_wide, "again", lambda large, *a: (sizes.append(large.count()), again(large, *a))[1])
+    monkeypatch.setattr(simhash_wide, "forests", lambda large, *a: (sizes.append(large.count()), forests(large, *a))[1])
+    assert sorted(r.doc_id for r in simhash_wide.one_of_each(docs(list(enumerate(texts)))).collect()) == kept
+    assert sizes[0] > 100 and sizes[1:] == [0]
+
+
 def test_groups_are_those_of_brute_force(spark, docs, monkeypatch):
     """Chains of edited texts, pairs at 0.72 to 0.9 and short texts: one of each brute-force component stays, nothing else goes."""
     rng = random.Random(13)
