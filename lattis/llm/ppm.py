@@ -15,8 +15,8 @@ within groups of n-grams that end in the same two context bytes, dealt to shards
 more n-grams than that is split by its third context byte, and again by the fourth and the fifth; the counts of the orders
 that it is split below, at most 256 a context, then go to the shards of its parts.
 Orders 0 and 1, at most 65,536 n-grams, travel to all of them.  The answers (a word's count, an n-gram's
-log probability) are joined to the chunks that asked, and a chunk's texts, which travel packed, are scored
-beside its own answers.  No model is held whole anywhere: a task needs the memory of a chunk or a
+log probability) are joined to the chunks that asked; a chunk's answers and then its texts, which travel packed, reach
+a task in order and in small batches, and are scored piece by piece.  No model is held whole anywhere: a task needs the memory of a chunk or a
 group, the driver that of the two lowest orders, and a frequent n-gram makes one row for each
 chunk that holds it.
 
@@ -30,10 +30,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ CHUNK_BYTES, HOLD = 48 << 20, 4_000_000
 #: N-grams of a group in which tries are built.
 SHARD_NODES = 250_000
 SLICE = 1 << 20
+#: Rows that are handed to Spark at a time.
+ROWS = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,9 +99,11 @@ def ask(df: DataFrame, ident: str, text: str, parts: int, chunk_bytes: int, hold
         keys, counts = tally.keys, tally.counts
         same = lambda n: pa.array(np.full(n, chunk))
         yield made(1, chunk=same(1), n=pa.array([docs]))
-        yield made(len(words), chunk=same(len(words)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
-        for at in range(0, len(keys), SLICE):
-            own = slice(at, at + SLICE)
+        named = iter(words.items())
+        while own := list(islice(named, ROWS)):
+            yield made(len(own), chunk=same(len(own)), word=pa.array([w for w, _ in own], pa.binary()), n=pa.array([n for _, n in own], pa.int64()))
+        for at in range(0, len(keys), ROWS):
+            own = slice(at, at + ROWS)
             yield made(len(keys[own]), chunk=same(len(keys[own])), gram=pa.array(keys[own].astype(np.int64)), n=pa.array(counts[own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +203,32 @@ class Table:
         return self.values[at], found
 
 
+class Words:
+    """Counts of a chunk's words by their 64-bit hashes, under a seed by which no two of them agree: ``words`` hold each once."""
+
+    def __init__(self, words: list[pa.Array], counts: np.ndarray):
+        self.seed = 0
+        keys = self.hashed(words)
+        while len(np.unique(keys)) < len(keys):
+            self.seed += 1
+            keys = self.hashed(words)
+        self.table = Table(keys, counts)
+
+    def hashed(self, words: list[pa.Array]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(digests(w.to_pylist(), self.seed) for w in words)])
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The counts of every text's words, all of which are in the table."""
+        keys = [digests(t.split(), self.seed) for t in texts]
+        found, known = self.table.find(np.concatenate([np.zeros(0, np.uint64), *keys]))
+        assert known.all()
+        return np.split(found, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def digests(words: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
+
+
 class Tally:
     """Counts of keys, merged whenever as many have come as are held."""
 
@@ -357,6 +389,7 @@ def scores(grams_table: DataFrame, shard_nodes: int = SHARD_NODES) -> DataFrame:
         above = {order: (keys[sum_of == order], n[sum_of == order]) for order in range(2, ORDER)}
         asked, trained = sum_of == 0, (sum_of == 0) & (n > 0)
         value = Trie(keys[trained], n[trained], shared.value, level[trained], above).score(keys[asked])
+        release(None)
         return pa.table({"gram": gram[asked], "value": value.astype(np.float32)})
 
     return dealt.groupBy("shard").applyInArrow(run, "gram bigint, value float")
@@ -378,36 +411,54 @@ def score(
     of_words = asked.select("chunk", "word").join(word_table.select("word", F.col("n").cast("double").alias("value")), "word")
     of_grams = asked.select("chunk", "gram").join(cut(scores(grams_table, shard_nodes), "scores"), "gram")
     answers = of_words.select("chunk", "word", F.lit(None).cast("bigint").alias("gram"), "value").unionByName(of_grams.select("chunk", F.lit(None).cast("binary").alias("word"), "gram", F.col("value").cast("double").alias("value")))
-    answers = answers.withColumnRenamed("chunk", "asking")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    answers = answers.select("chunk", none("binary", "docs"), "word", "gram", "value")
+    rows = answers.unionByName(documents.select("chunk", "docs", none("binary", "word"), none("bigint", "gram"), none("double", "value")))
     end_base = math.log10(ends + 0.1)
 
-    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(known["word"])
-        words, grams_ = known.filter(is_word), known.filter(pc.invert(is_word))
-        # whole numbers, most of them small and shared
-        count = dict(zip(words["word"].to_pylist(), words["value"].cast(pa.int64()).to_pylist())).__getitem__
-        model = Table(grams_["gram"].to_numpy().astype(np.uint64), grams_["value"].to_numpy())
-        n_tokens, n_known, base, total, idents, held = [], [], [], [], [], []
-        for piece in rows["docs"]:
-            batch = unpacked(piece.as_buffer())
-            texts = batch.column(2).to_pylist()
-            for t in texts:
-                c = np.fromiter(map(count, t.split()), np.float64)
-                n_tokens.append(len(c) + 1)
-                n_known.append(int((c > 0).sum()) + (ends > 0))
-                base.append(float(np.log10(c + 0.1).sum()) + end_base - (len(c) + 1) * under)
-            total.append(code_lengths(texts, model))
-            idents.append(batch.column(0))
-            held.append(batch.column(1))
-        made = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": np.concatenate(total)}
-        del count, model, words, grams_, piece, batch, texts
+    def scored(piece: pa.Buffer, count: Words, model: Table) -> pa.RecordBatch:
+        batch = unpacked(piece)
+        texts = batch.column(2).to_pylist()
+        n_tokens, n_known, base = [], [], []
+        for c in count.of(texts):
+            n_tokens.append(len(c) + 1)
+            n_known.append(int((c > 0).sum()) + (ends > 0))
+            base.append(float(np.log10(c + 0.1).sum()) + end_base - (len(c) + 1) * under)
+        made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(code_lengths(texts, model))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["ident", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a chunk's answers come before its texts, in small batches; answers are kept as plain numbers, texts are let go piece by piece
+        chunk, words, counts, keys, values, count, model = None, [], [], [], [], None, None
+        for batch in batches:
+            own, texts = batch.column(0).to_numpy(), pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+            edges = (np.flatnonzero((own[1:] != own[:-1]) | (texts[1:] != texts[:-1])) + 1).tolist()
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                if own[start] != chunk:
+                    chunk, words, counts, keys, values, count, model = own[start], [], [], [], [], None, None
+                if not texts[start]:
+                    is_word = pc.is_valid(part.column(2))
+                    named, grams_ = part.filter(is_word), part.filter(pc.invert(is_word))
+                    words.append(named.column(2))
+                    counts.append(named.column(4).to_numpy().copy())
+                    keys.append(grams_.column(3).to_numpy().astype(np.uint64))
+                    values.append(grams_.column(4).to_numpy().astype(np.float32))
+                    continue
+                if model is None:
+                    model = Table(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.float32), *values]))
+                    count = Words(words, np.concatenate([np.zeros(0), *counts]))
+                    words, counts, keys, values = [], [], [], []
+                for piece in part.column(1):
+                    yield scored(piece.as_buffer(), count, model)
+        del words, counts, keys, values, count, model
         release(None)
-        return pa.table({"ident": pa.concat_arrays(idents), "held_out": pa.concat_arrays(held), **made})
 
     bounded_batches(df.sparkSession)
     kind = df.schema[ident].dataType.simpleString()
-    scored = documents.groupBy("chunk").cogroup(answers.groupBy("asking")).applyInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    ordered = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("docs").isNotNull())
+    scored_rows = ordered.mapInArrow(run, f"ident {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored_rows.select(F.col("ident").alias(ident), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def code_lengths(texts: list[bytes], model: Table) -> np.ndarray:

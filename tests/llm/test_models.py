@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,26 @@ def test_ppm_splits_hot_contexts(spark):
     assert ppm.levels(grams, 1_000_000)[1] == []
 
 
+def test_ppm_answers_come_in_small_batches(spark, docs, monkeypatch):
+    """Answers of a chunk reach Python a few rows at a time, not as one table, and its texts after them."""
+    monkeypatch.setattr("lattis.llm.common.BATCH_ROWS", 7)
+    table = [(i, f"{'ab' * (i % 5)} word{i} c{i % 3}") for i in range(60)]
+    found = ppm.score(docs(table, 2), chunk_bytes=300)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    few = {r.doc_id: (r.base_score, r.score) for r in found.collect()}
+    monkeypatch.undo()
+    more = {r.doc_id: (r.base_score, r.score) for r in ppm.score(docs(table)).collect()}
+    assert set(few) == set(range(60)) and all(few[i] == pytest.approx(more[i], rel=1e-6) for i in few)
+
+
+def test_ppm_words_of_equal_hash(monkeypatch):
+    """Words that a seed does not tell apart get another seed."""
+    digest = ppm.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ppm.xxhash, "xxh64_intdigest", lambda w, seed: 7 if seed < 2 and w in (b"a", b"b") else digest(w, seed))
+    words = ppm.Words([pa.array([b"a", b"c"]), pa.array([b"b"])], np.array([3.0, 5.0, 0.0]))
+    assert words.seed == 2 and [c.tolist() for c in words.of([b"b a", b"", b"c c a"])] == [[0, 3], [], [5, 5, 3]]
+
+
 def test_ppm_without_training_rows(spark, docs):
     assert ppm.score(docs([])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
