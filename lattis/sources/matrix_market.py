@@ -9,6 +9,7 @@ shape is dropped (``mode="dropmalformed"``) or an error (``mode="failfast"``).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Matrix, Shape
+from . import scratch
 
 BLANKS = "[ \t\r]+"
 SORTED_BANNER = "%%Sorted matrix file"
 #: Different header lines up to which they are broadcast (about 100 bytes each).
 BROADCAST_TEXTS = 100_000
+#: Entries of a sorted part, beyond which there are more parts than Spark makes by itself.
+PART_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -73,16 +77,36 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header, banner) of every file: its first content line and its banner, null where it has none."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    first = lambda which: F.min_by("value", F.when(which, F.col("place")))
-    return lines.groupBy("file").agg(first(is_content(F.col("value"))).alias("header"), first(F.col("value").startswith("%%MatrixMarket")).alias("banner"))
+def _kept(table: DataFrame, tag: str) -> DataFrame:
+    """A small table, written once so that no later read scans the matrix for it again."""
+    path = scratch.folder(table.sparkSession, tag)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
 
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, banner) of every file with either: its first content line and its banner, null where it has none.
 
-def read_header(spark: SparkSession, path: str) -> Header:
+    Minima over strings would sort all lines of a task, so that a first scan finds the lines by numbers alone: the hash of
+    the first one of each file.  A second one takes the lines of such hashes and keeps the first of each file.
+    """
+    place = [F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *place).withColumn("h", F.xxhash64("value"))
+    content, banner = is_content(F.col("value")), F.col("value").startswith("%%MatrixMarket")
+    blocks = lines.groupBy("file", "block").agg(F.min_by("h", F.when(content, F.col("at"))).alias("header"), F.min_by("h", F.when(banner, F.col("at"))).alias("banner"))
+    of_file = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("block"))).alias(c)
+    hashes = blocks.groupBy("file").agg(of_file("header"), of_file("banner")).select(F.explode(F.array("header", "banner")).alias("h"))
+    hashes = _kept(hashes.where("h is not null").distinct(), "first-lines")
+    side = F.broadcast(hashes) if hashes.count() <= BROADCAST_TEXTS else hashes
+    # other lines of these hashes come after the first ones; equal ones are counted as one before any sort
+    found = lines.where(content | banner).join(side, "h", "left_semi").groupBy("file", "block", "value").agg(F.min("at").alias("at"))
+    first = lambda which: F.min_by("value", F.when(which, F.struct("block", "at")))
+    return _kept(found.groupBy("file").agg(first(content).alias("header"), first(banner).alias("banner")), "headers")
+
+
+def read_header(spark: SparkSession, path: str, files: DataFrame | None = None) -> Header:
     """The banner and the shape of a file, or of all files of a folder; one row of sums over all files comes to the driver."""
-    files = file_headers(spark, path).where("header is not null")
+    files = (file_headers(spark, path) if files is None else files).where("header is not null")
     tokens = F.split(_trimmed(F.col("header")), BLANKS)
     number = lambda i: F.get(tokens, F.lit(i)).try_cast("bigint")
     words = F.split(F.lower(F.btrim("banner")), r"\s+")
@@ -106,13 +130,13 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header(r.least.n_row, r.least.n_col, r.nnz, r.least.symmetry, r.least.field, r.files, r.different, r.stated)
 
 
-def _data(spark: SparkSession, path: str, header: Header) -> DataFrame:
+def _data(spark: SparkSession, path: str, header: Header, files: DataFrame) -> DataFrame:
     """Content lines without one occurrence of its header for each file: lines are a bag, so it does not matter which.
 
     Lines that look like a header are set apart by a join; those beyond one a file come back.
     """
     lines = _lines(spark, path).where(is_content(F.col("value"))).select("value")
-    texts = file_headers(spark, path).where("header is not null").groupBy(F.col("header").alias("value")).agg(F.count("*").alias("files"))
+    texts = files.where("header is not null").groupBy(F.col("header").alias("value")).agg(F.count("*").alias("files"))
     side = F.broadcast(texts) if header.different <= BROADCAST_TEXTS else texts
     alike = lines.join(side, "value").groupBy("value").agg((F.count("*") - F.max("files")).alias("more")).where("more > 0")
     # as many again, in steps, so that no array is long
@@ -134,11 +158,12 @@ def counted(spark: SparkSession, path: str) -> tuple[int, int]:
 
 def read(spark: SparkSession, path: str, mode: str = "dropmalformed", symmetric: str = "ignore", pattern: str = "error", single: bool = False) -> Matrix:
     """A matrix file.  ``symmetric="expand"`` mirrors the stored half; ``pattern="ones"`` reads files without values."""
-    header = read_header(spark, path)
+    files = file_headers(spark, path)
+    header = read_header(spark, path, files)
     if header.field == "pattern" and pattern != "ones":
         raise ValueError("a pattern file has no values; read it with pattern='ones'")
     shape = Shape(header.n_row, header.n_col)
-    entries = checked(parse_triplets(_data(spark, path, header), pattern=header.field == "pattern"), shape, mode)
+    entries = checked(parse_triplets(_data(spark, path, header, files), pattern=header.field == "pattern"), shape, mode)
     if single:
         entries = entries.withColumn("val", F.col("val").cast("float").cast("double"))
     if symmetric == "expand" and header.symmetry in ("symmetric", "skew-symmetric", "hermitian"):
@@ -173,9 +198,15 @@ def write_sorted(matrix: Matrix, path: str, digits: int = 12, single_file: bool
 
     Parts are written in order of their names; ``single_file`` puts all in one.
     """
-    head = F.array(F.lit(SORTED_BANNER), F.lit(f"{matrix.shape.n_row} {matrix.shape.n_col} {matrix.nnz()}"))
-    lines = format_lines(matrix.df, digits)
-    ordered = lines.coalesce(1).sortWithinPartitions("row", "col", "val") if single_file else lines.orderBy("row", "col", "val")
+    nnz, by = matrix.nnz(), ["row", "col", "val"]
+    head = F.array(F.lit(SORTED_BANNER), F.lit(f"{matrix.shape.n_row} {matrix.shape.n_col} {nnz}"))
+    lines, parts = format_lines(matrix.df, digits), math.ceil(nnz / PART_ROWS)
+    if single_file:
+        ordered = lines.coalesce(1).sortWithinPartitions(*by)
+    elif parts > int(matrix.spark.conf.get("spark.sql.shuffle.partitions")):
+        ordered = lines.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    else:
+        ordered = lines.orderBy(*by)
     # rows are numbered within their part: the first one brings the part's head
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     out = ordered.select("line", first.alias("first")).select(F.explode(F.when(F.col("first"), F.concat(head, F.array("line"))).otherwise(F.array("line"))).alias("line"))

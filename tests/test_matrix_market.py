@@ -147,3 +147,32 @@ def test_single_precision(spark, tmp_path):
     assert sorted(r.val for r in mm.read(spark, path, single=True).df.collect()) == [float(np.float32(0.1)), 0.5]
     df = spark.createDataFrame([(0, 0, 0.1)], "row bigint, col bigint, val double")
     assert Matrix.of(df, Shape(1, 1), single=True).df.first().val == float(np.float32(0.1))
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    """No string minimum over all lines: it would sort a task's whole share of the text.  Repeats of header lines change nothing."""
+    folder = tmp_path / "m"
+    folder.mkdir()
+    for name, body in (("a", "% c\n2 2 2\n1 1 3\n2 2 2\n"), ("b", BANNER + "2 2 2\n2 2 2\n1 2 5\n"), ("c", "%only\n\n")):
+        (folder / name).write_text(body)
+    found = {r.file[-1]: (r.header, r.banner) for r in mm.file_headers(spark, str(folder)).collect()}
+    assert {k: v for k, v in found.items() if v != (None, None)} == {"a": ("2 2 2", None), "b": ("2 2 2", BANNER.strip())}
+    assert sorted((r.row, r.col, r.val) for r in mm.read(spark, str(folder)).df.collect()) == [(0, 0, 3.0), (0, 1, 5.0), (1, 1, 2.0), (1, 1, 2.0)]
+    plans = []
+    keep, mm._kept = mm._kept, lambda table, tag: (plans.append(table._jdf.queryExecution().executedPlan().toString()), keep(table, tag))[1]
+    try:
+        mm.file_headers(spark, str(folder))
+    finally:
+        mm._kept = keep
+    assert plans and "SortAggregate" not in plans[0]
+
+
+def test_sorted_parts_grow_with_the_entries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mm, "PART_ROWS", 10)
+    n = 10 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 55
+    entries = spark.range(n).selectExpr("(id * 7919) % 1000 as row", "id as col", "id / 3.0 as val")
+    mm.write_sorted(Matrix(entries, Shape(1000, n)), str(tmp_path / "s"))
+    texts = [p.read_text().splitlines() for p in sorted((tmp_path / "s").glob("part-*"))]
+    lines = [x for t in texts for x in t[2:]]
+    assert len(lines) == n and max(map(len, texts)) < 60
+    assert lines == sorted(lines, key=lambda x: (int(x.split()[0]), int(x.split()[1])))
