@@ -7,8 +7,8 @@ sensitive word that neither dictionaries nor surroundings explain.
 Novelty.  A candidate is a run of printable signs after a sensitive word, at least ``SHORTEST`` long.  It is
 split at changes of case and class and lower-cased, so that names fall into words.  Its *marginal bytes* are what it
 adds to a zstandard frame of the text around it, brought to ``HEAD`` signs whatever there is of it, and primed by a
-dictionary: the words of the Python library's and PySpark's sources, dates, and the words that several documents
-of a bounded sample share.  They are compared with the mean of up to ``LIKE`` shuffles of the candidate that have a random
+dictionary: the words of the Python library's and PySpark's sources, dates, and the words that most texts of the whole
+table share.  They are compared with the mean of up to ``LIKE`` shuffles of the candidate that have a random
 sign of the same class at each place.  What words make up compresses to a part of that; keys add as much, and are
 reported from ``NOVELTY`` on, unless a base span covers part of them.
 
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, rewrite_rows
+from .common import cut, discard, map_texts, rewrite_rows
 
 KINDS = ["assign", "access", "hex", "novel"]
 #: The base patterns and their least lengths.
@@ -53,8 +53,10 @@ CANDIDATE = re.compile(r"""[^\s"'`<>(){}\[\],;]{11,}""")
 SHORTEST = 11
 #: Part of a random string's marginal bytes, shuffles, and how many of them decide where the part is far from it.
 NOVELTY, LIKE, FEW, FAR = 0.89, 24, 6, 0.2
-#: Documents whose words make up the dictionary's end, and how many words, each in several documents.
-SAMPLE, WORDS, SHARED = 2000, 6000, 3
+#: Words of the documents that make up the dictionary's end, and in how many texts each is at least.
+WORDS, SHARED = 6000, 3
+#: Hashes of texts with copies up to which they are broadcast (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 _quick = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"credential", b"bearer", b"private", b"access", b"signature", b"akia")
 _hex_map = bytes(1 if b in b"0123456789abcdef" else 0 for b in range(256))
@@ -189,17 +191,19 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Novelty:
-    """The dictionary of a table: words that several documents of a sample (by hash) share.
+def fit(df: DataFrame, text: str = "text") -> Novelty:
+    """The dictionary of a table: the words that most of its texts share, counted in all of them, copies once.
 
     Words of up to 16 letters, small but for the first: a key that stands in several documents is no word.
     """
     texts = df.select(F.col(text).cast("string").alias("t")).where("t is not null").select("t", F.xxhash64("t").alias("h"))
-    # hashes alone are ordered; the texts of the smallest ones are read again, copies once
-    last = texts.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    picked = texts.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("t").alias("t"))
-    words = picked.select(F.explode(F.array_distinct(F.split("t", r"[\s\p{Punct}]+"))).alias("w")).where(F.col("w").rlike(r"^\p{L}\p{Ll}{3,15}$")).groupBy("w").agg(F.count("*").alias("n"))
+    # only texts that have copies are gathered; the others are counted where they are read
+    copied = cut(texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "copied")
+    side = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    once = texts.join(side, "h", "left_anti").select("t").unionByName(texts.join(side, "h", "left_semi").select("t").distinct())
+    words = once.select(F.explode(F.array_distinct(F.split("t", r"[\s\p{Punct}]+"))).alias("w")).where(F.col("w").rlike(r"^\p{L}\p{Ll}{3,15}$")).groupBy("w").agg(F.count("*").alias("n"))
     shared = words.where(F.col("n") >= SHARED).orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    discard(copied)
     return Novelty([r.w for r in reversed(shared)])
 
 

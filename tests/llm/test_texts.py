@@ -298,3 +298,12 @@ def test_bpe_tables(spark, docs, odd, library):
         assert r.decoded_sha256 == full[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digest_texts(docs([]), tokenizer_path(), ["doc_id"]).count() == 0
     assert bpe.encode_texts(docs([(1, "a")]), tokenizer_path(), ["doc_id"]).select(F.size("ids")).first()[0] == 1
+
+
+def test_secrets_dictionary_counts_all_texts(docs):
+    """Words of four among 3,000 texts are in the dictionary, a word of four copies of one text is not."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(6)) for _ in range(12)]
+    texts = [f"n{i} k{i * 7} {words[i % 12] if i < 48 else ''}" for i in range(3000)] + ["only here quillonetta"] * 4
+    known = set(secrets.fit(docs(list(enumerate(texts)))).dictionary.decode().split())
+    assert set(words) <= known and "quillonetta" not in known
