@@ -1,8 +1,11 @@
-"""Near-dedup of texts at a similarity, by exact sets of shingles: the pipeline's form of ``simhash``.
+"""Near-dedup of texts at a similarity by SimHash, completed by a prefix filter: the pipeline's form of ``simhash``.
 
 Two texts are near copies if the sets of their five-word shingles (as 64-bit hashes) have a
-Jaccard similarity of 0.8 or more.  No SimHash takes part: bits of fingerprints neither find all
-such pairs nor tell 0.8 from 0.75.
+Jaccard similarity of 0.8 or more.
+
+SimHash.  The fingerprints of ``simhash`` are linked by its byte-position index with tally and verification;
+a link counts if the exact similarity of the two sets confirms it.  What these links join is known and
+does not meet again.  Fingerprints within two bits are not all pairs of that similarity: the index below finds the rest.
 
 Index.  Under any one order of all shingles, two sets of that similarity share a shingle among
 the first ``n - ceil(0.8 n) + 1`` of each (prefix filter), so that postings keyed by the
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, cut, discard, map_texts, release
 from .graph import components
+from . import simhash
 from .multiindex import spanning
 from .simhash import SEED
 
@@ -191,10 +195,26 @@ def near(one: list[np.ndarray], two: list[np.ndarray], similarity: float) -> np.
     return shared * (num + den) >= (n1[:, None] + n2[None, :]) * num
 
 
-def links(texts: DataFrame, n: int, words: int = WORDS, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def by_fingerprints(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of the near copies that SimHash finds: the links of ``simhash`` that the exact similarity confirms.
+
+    Texts of one fingerprint meet the smallest of them, which stands for them in the index.
+    """
+    prints = cut(simhash.fingerprints(texts, ["cid"]), "prints")
+    hubs = cut(prints.groupBy("fp").agg(F.min("cid").alias("hub")), "print-hubs")
+    equal = prints.join(hubs, "fp").where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    one, two = (hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"h{c}")) for c in "ab")
+    linked = simhash.links(hubs.select("fp")).join(one, "a").join(two, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    found = verified(equal.unionByName(linked), texts, words, similarity)
+    discard(prints, hubs)
+    return found
+
+
+def links(texts: DataFrame, n: int, words: int = WORDS, similarity: float = SIMILARITY, exact: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that join the near copies among ``n`` texts (cid and text) of distinct sets.
 
-    ``exact``: shingles are counted in all texts, not in a sample, for their order.
+    ``exact``: shingles are counted in all texts, not in a sample, for their order.  ``known``: components (node,
+    component) of near copies found before, whose members need not meet again.
     """
     filed = cut(postings(texts, common(texts, n, words, n if exact else None), words, similarity), "postings")
     # joined by key at any size: adaptive execution splits the partitions of hot postings
@@ -205,8 +225,8 @@ def links(texts: DataFrame, n: int, words: int = WORDS, similarity: float = SIMI
     hubs = cut(members.groupBy("posting").agg(F.min(member).alias("hub")), "hubs")
     met = members.join(hubs, "posting").where(F.col("cid") != F.col("hub.cid"))
     met = met.where(possible(F.col("hub"), member, similarity)).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))
-    near_hubs = verified(met, texts, words, similarity)
-    stars = cut(components(near_hubs), "stars")
+    near_hubs = verified(met if known is None else unjoined(met, known), texts, words, similarity)
+    stars = cut(components(near_hubs if known is None else near_hubs.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))), "stars")
     discard(hubs, near_hubs)
     parted = members.where("n > 2").join(stars.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     parted = cut(parted, "parted")
@@ -230,6 +250,15 @@ def links(texts: DataFrame, n: int, words: int = WORDS, similarity: float = SIMI
     return joined
 
 
+def unjoined(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends are not in one of the components."""
+    few = known.count() <= BROADCAST_ROWS
+    for c in "ab":
+        side = known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        pairs = pairs.join(F.broadcast(side) if few else side, c, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def again(large: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (a, b) that join the near copies among all members of large postings, by an order of their own."""
     ids = cut(large.select("cid").distinct(), "large-ids")
@@ -278,11 +307,13 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", word
     discard(prints)
     n = classes.count()
     texts = _matching(keyed.withColumnsRenamed({"id": "own", "h": "hash"}), "own", "hash", classes.select("cid", "id", "h", "times"), n, "inner").select("cid", "text")
-    edges = links(texts, n, words, similarity)
+    printed = by_fingerprints(texts, words, similarity)
+    known = cut(components(printed), "known")
+    edges = links(texts, n, words, similarity, known=known)
     found = components(edges)
     grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     stays = cut(grouped.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.h").alias("__h"), F.col("least.times").alias("__times")), "stays")
-    discard(edges, found, classes)
+    discard(printed, known, edges, found, classes)
     name = free("__hash", docs.columns)
     out = _matching(docs.withColumn(name, h), ident, name, stays.withColumnsRenamed({"__id": "id", "__h": "h", "__times": "times"}), n, "left_semi")
     return out.drop(name)

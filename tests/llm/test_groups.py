@@ -329,3 +329,24 @@ def test_multiindex_sparse_links(spark):
     out = {r.vec_id: r for r in multiindex.link(df).collect()}
     assert all(out[i].n_links == 1 and out[i].component_id == i - i % 2 for i in range(120))
     assert all(out[i].n_links == 0 and out[i].kept for i in range(120, 6000))
+
+
+def test_pipeline_links_by_fingerprints_first(spark, docs, monkeypatch):
+    """SimHash finds near copies, the exact similarity decides, and the prefix filter adds what two bits do not reach."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    texts = [line(1500) for _ in range(6)]
+    near = [t + " end" for t in texts[:4]]  # fingerprints as near as they come
+    short = [line(120) for _ in range(6)]
+    far = [" ".join("x" if i in (20, 70) else w for i, w in enumerate(t.split())) for t in short]
+    table = docs(list(enumerate([*texts, *near, *short, *far])))
+    seen = []
+    by = simhash_wide.by_fingerprints
+    monkeypatch.setattr(simhash_wide, "by_fingerprints", lambda *a: (seen.append(by(*a)), seen[-1])[1])
+    monkeypatch.setattr(simhash_wide, "discard", lambda *a: None)
+    kept = sorted(r.doc_id for r in simhash_wide.one_of_each(table).collect())
+    assert kept == [*range(6), *range(10, 16)] and len(seen) == 1 and 1 <= seen[0].count() <= 10
+    # a link that the similarity does not confirm does not count
+    same = spark.createDataFrame([(1, "a b c"), (2, "a b c d e f")], "cid bigint, text string")
+    monkeypatch.setattr(simhash_wide.simhash, "fingerprints", lambda df, keep: df.select(*keep, F.lit(5).cast("bigint").alias("fp")))
+    assert by(same).count() == 0
