@@ -29,9 +29,12 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -40,6 +43,8 @@ from .common import map_texts
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words kept by each generation of the cache, and the longest word kept.
 CACHE_WORDS, CACHE_LENGTH = 100_000, 48
+#: A rank after all others.
+NEVER = 2**31 - 1
 #: Pairs of tokens whose compatibility is kept.
 CACHE_PAIRS = 120_000
 #: Length of the longer of the two prefixes of a word whose states are kept too, in bytes.
@@ -98,45 +103,54 @@ class Bpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.strings = {i: s for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings.update({i: s for s, i in self.special.items()})
-        self.string_list = [self.strings.get(i, "") for i in range(max(self.strings) + 1)]
+        strings = {i: s for s, i in chain(vocab.items(), self.special.items())}
+        self.string_list = [strings.get(i, "") for i in range(max(strings) + 1)]
         self.decimal = [str(i) for i in range(len(self.string_list))]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        #: Pairs of tokens are keyed by one number, ``left * size + right``.
+        self.size = len(self.string_list)
+        #: Rank of a merge by its pair.
+        self.merges: dict[int, int] = {}
+        rank: dict[int, int] = {}
+        parts: dict[int, tuple[int, int]] = {}
+        for at, pair in enumerate(model["merges"]):
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            new, (x, y) = vocab[x + y], (vocab[x], vocab[y])
+            if self.merges.setdefault(x * self.size + y, at) == at and new not in rank:
+                rank[new], parts[new] = at, (x, y)
         symbols = byte_symbols()
         self.back = {s: b for b, s in enumerate(symbols)}
         #: A symbol of a word is a byte, plus 256 if it is the word's last.
         last = 256 if self.suffix else 0
         self.last = last
-        self.rank = {new: rank for rank, new in reversed(self.merges.values())}
-        self.parts = {new: pair for pair, (rank, new) in self.merges.items() if self.rank[new] == rank}
         atoms: dict[int, tuple[int, ...]] = {}
         for b, s in enumerate(symbols):
             for key, name in ((b, s), (b + last, s + self.suffix)):
                 if name in vocab:
                     atoms[vocab[name]] = (key,)
-        for new, (a, b) in sorted(self.parts.items(), key=lambda x: self.rank[x[0]]):
+        for new, (a, b) in parts.items():  # by rank
             if new not in atoms and a in atoms and b in atoms:
                 atoms[new] = atoms[a] + atoms[b]
-        self.atoms = atoms
-        self.right = {i: self._spine(i, 1) for i in atoms}
-        self.left = {i: self._spine(i, 0) for i in atoms}
-        #: Tokens that their own symbols merge to, in a tree by symbols from the last to the first.
-        self.tree: dict = {}
+        #: What stands at one edge while a token is built, innermost first: the token, and the rank at which it is absorbed.
+        #: Those of one token and edge lie between its place in ``right`` or ``left`` and the next place.
+        self.edge, self.until = array("i"), array("i")
+        self.right, self.left = (self._spines(side, atoms, parts, rank) for side in (1, 0))
+        #: Tokens that their own symbols merge to, in a tree by symbols from the last to the first: the next node by
+        #: ``node * 512 + symbol``, and the token that ends at a node, if any.
+        self.tree: dict[int, int] = {}
+        self.ends: list[int | None] = [None]
         self.known = {x[0] for x in atoms.values() if len(x) == 1}
         self.lookahead = 1
         for i, syms in atoms.items():
-            if len(syms) == 1 or self._fits(*self.parts[i], inner=True):
-                node = self.tree
+            if len(syms) == 1 or self._fits(*parts[i], inner=True):
+                node = 0
                 for x in reversed(syms):
-                    node = node.setdefault(x, {})
-                node[-1] = i
+                    node = self.tree.setdefault(node * 512 + x, len(self.ends))
+                    if node == len(self.ends):
+                        self.ends.append(None)
+                self.ends[node] = i
                 self.lookahead = max(self.lookahead, len(syms))
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.prefixes: dict[bytes, tuple] = {}
@@ -144,17 +158,25 @@ class Bpe:
         self.words, self.latin = (word_pattern(top) for top in (sys.maxunicode, 255))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """What stands at one edge while a token is built: (token, rank at which it is absorbed)."""
-        out, until = [], 1 << 60
-        while True:
-            out.append((token, until))
-            if len(self.atoms[token]) == 1:
-                return out[::-1]
-            until, token = self.rank[token], self.parts[token][side]
+    def _spines(self, side: int, atoms: dict, parts: dict, rank: dict) -> array:
+        """Places in ``edge`` and ``until`` of what stands at one edge of each token."""
+        places = array("i")
+        for token in range(self.size):
+            places.append(len(self.edge))
+            out, until = [], NEVER
+            while token in atoms:
+                out.append((token, until))
+                if len(atoms[token]) == 1:
+                    break
+                until, token = rank[token], parts[token][side]
+            for token, until in reversed(out):
+                self.edge.append(token)
+                self.until.append(until)
+        places.append(len(self.edge))
+        return places
 
     def _raw(self, token: int) -> bytes:
-        s = self.strings[token]
+        s = self.string_list[token]
         end = bool(self.suffix) and s.endswith(self.suffix)
         return bytes(self.back[c] for c in (s[: -len(self.suffix)] if end else s)) + (b"\xff" if end else b"")
 
@@ -163,16 +185,17 @@ class Bpe:
 
         ``inner``: whether they meet whole, so that the merge of the two themselves is the first.
         """
-        xs, ys, merges = self.right[a], self.left[b], self.merges
-        i = j = 0
+        edge, until, merges, size = self.edge, self.until, self.merges, self.size
+        i, j = self.right[a], self.left[b]
+        i_top, j_top = self.right[a + 1] - 1, self.left[b + 1] - 1
         while True:
-            (x, x_until), (y, y_until) = xs[i], ys[j]
-            top = i + 1 == len(xs) and j + 1 == len(ys)
+            x_until, y_until = until[i], until[j]
+            top = i == i_top and j == j_top
             if top and inner:
                 return True
-            found = merges.get((x, y))
+            found = merges.get(edge[i] * size + edge[j])
             # of equal ranks the leftmost merges first: a's own before, b's own after the border
-            if found is not None and found[0] < x_until and found[0] <= y_until:
+            if found is not None and found < x_until and found <= y_until:
                 return False
             if top:
                 return True
@@ -183,17 +206,17 @@ class Bpe:
 
     def _extend(self, symbols: list[int], starts: list[int], tokens: list[int], before: int) -> None:
         """Start and id of the last token of each prefix of ``symbols`` that has none yet."""
-        compatible, tree = self.compatible, self.tree
+        compatible, tree, ends, size = self.compatible, self.tree, self.ends, self.size
         for end in range(len(tokens), len(symbols) + 1):
-            node, start = tree, end
+            node, start = 0, end
             while start:
                 start -= 1
-                node = node.get(symbols[start])
+                node = tree.get(node * 512 + symbols[start])
                 if node is None:
                     start = 0
                     t = -1
                     break
-                t = node.get(-1)
+                t = ends[node]
                 if t is None:
                     continue
                 left = tokens[start] if start else before
@@ -201,11 +224,11 @@ class Bpe:
                     if start:
                         continue
                     break
-                fits = compatible.get((left, t))
+                fits = compatible.get(left * size + t)
                 if fits is None:
                     if len(compatible) > CACHE_PAIRS:
                         compatible.clear()
-                    fits = compatible[left, t] = self._fits(left, t)
+                    fits = compatible[left * size + t] = self._fits(left, t)
                 if fits:
                     break
             starts.append(start)
@@ -335,7 +358,9 @@ class Decoder:
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
         out, special = [], self.bpe.special
         for i in ids:
-            s = self.bpe.strings.get(i, "")
+            if not 0 <= i < self.bpe.size:
+                raise KeyError(i)
+            s = self.bpe.string_list[i]
             if s in special:
                 out.append(self.utf8.decode(b"", True) + s)
                 continue
@@ -363,23 +388,25 @@ def encode_texts(df: DataFrame, path: str, keep: list[str], text: str = "text")
     return map_texts(df, keep, text, make, "ids array<int>, decoded string")
 
 
+def digested(bpe: Bpe, raw: bytes | None, put: Callable[[list[int]], object] = len) -> tuple[int, str, str]:
+    """Number of ids of a text, digests of them and of the decoded text; ``put`` is given the ids as they come."""
+    decimal, strings = bpe.decimal.__getitem__, bpe.string_list.__getitem__
+    n, ids_hash, text_hash, glue = 0, hashlib.sha256(), hashlib.sha256(), b""
+    for ids in bpe.encode_stream((raw or b"").decode("utf-8", "replace")):
+        if ids:
+            ids_hash.update(glue + " ".join(map(decimal, ids)).encode())
+            text_hash.update(glue + " ".join(map(strings, ids)).encode())
+            n, glue = n + len(ids), b" "
+            put(ids)
+    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
 def digest_texts(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """As ``encode_texts``, with digests in place of the ids and the decoded text."""
 
     def make():
         bpe = loaded(path)
-        decimal, strings = bpe.decimal.__getitem__, bpe.string_list.__getitem__
-
-        def one(raw):
-            n, ids_hash, text_hash, glue = 0, hashlib.sha256(), hashlib.sha256(), b""
-            for ids in bpe.encode_stream((raw or b"").decode("utf-8", "replace")):
-                if ids:
-                    ids_hash.update(glue + " ".join(map(decimal, ids)).encode())
-                    text_hash.update(glue + " ".join(map(strings, ids)).encode())
-                    n, glue = n + len(ids), b" "
-            return n, ids_hash.hexdigest(), text_hash.hexdigest()
-
-        return lambda texts: list(zip(*map(one, texts))) if texts else [[], [], []]
+        return lambda texts: list(zip(*(digested(bpe, t) for t in texts))) if texts else [[], [], []]
 
     return map_texts(df, keep, text, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
@@ -390,15 +417,14 @@ def tokenize(df: DataFrame, path: str, keep: list[str], text: str = "text") -> D
     def make():
         bpe = loaded(path)
 
-        def one(raw):
-            ids = bpe.encode((raw or b"").decode("utf-8", "replace"))
-            return (
-                ids, len(ids), hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(),
-                hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
-            )
-
         def work(texts):
-            return list(zip(*map(one, texts))) if texts else [[], [], [], []]
+            values, places = array("i"), array("i", [0])  # no Python number for each id
+            found = []
+            for t in texts:
+                found.append(digested(bpe, t, values.extend))
+                places.append(len(values))
+            ids = pa.ListArray.from_arrays(pa.array(np.array(places, np.int32)), pa.array(np.array(values, np.int32)))
+            return [ids, *(zip(*found) if found else ([], [], []))]
 
         work.close = bpe.forget  # the worker lives on for other stages
         return work

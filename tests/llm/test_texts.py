@@ -1,7 +1,9 @@
+import gc
 import hashlib
 import random
 import re
 import sys
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -300,6 +302,19 @@ def test_bpe_tables(spark, docs, odd, library):
     assert bpe.encode_texts(docs([(1, "a")]), tokenizer_path(), ["doc_id"]).select(F.size("ids")).first()[0] == 1
 
 
+def test_bpe_tables_are_compact():
+    """Every worker of an executor holds the tokenizer's tables (95 MB when they were nested dicts and tuples)."""
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        held = bpe.Bpe(tokenizer_path())
+        gc.collect()
+        size = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert held.encode("there") and size < 50e6
+
+
 def test_secrets_dictionary_counts_all_texts(docs):
     """Words of four among 3,000 texts are in the dictionary, a word of four copies of one text is not."""
     rng = random.Random(5)
